@@ -39,6 +39,37 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.filter((F.col("n_ab") >= 5) & lifted).select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Tags that are not written as in the list, with the tag of the list they stand for or the empty string."""
+    from corpusloom.llm.canonical import canonical_list, map_to_list
+
+    igt = table(spark, d, "igt").select(F.lit("igt").alias("tbl"), F.col("ord").alias("row_id"), F.posexplode("gloss_tags").alias("pos", "value"))
+    prof = table(spark, d, "tag_profile").select(F.lit("tag_profile").alias("tbl"), F.col("profile_id").alias("row_id"), F.lit(0).alias("pos"), F.col("tag").alias("value"))
+    entries = canonical_list(table(spark, d, "abbrev"), "tag", "meaning")
+    values = igt.unionByName(prof).withColumn("pos", F.col("pos").cast("long"))
+    return map_to_list(values, entries).select("tbl", "row_id", "pos", "canonical")
+
+
+def _p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    igt = table(spark, d, "igt").select("ord", F.explode(F.create_map(F.lit("igt.source"), "source", F.lit("igt.morpheme"), "morpheme")).alias("field", "text"))
+    chunk = table(spark, d, "chunk").select("ord", F.lit("chunk.text").alias("field"), "text")
+    return igt.unionByName(chunk).select("field", F.col("ord").alias("id"), "text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose field looks the same but is stored as different characters."""
+    from corpusloom.llm.lookalike import lookalike_pairs
+
+    return lookalike_pairs(_p4_texts(spark, d)).select("field", F.col("id_a").alias("ord_a"), F.col("id_b").alias("ord_b"))
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of each line."""
+    from corpusloom.llm.lookalike import consistent_forms
+
+    return consistent_forms(_p4_texts(spark, d), with_text=True).select("field", F.col("id").alias("ord"), F.col("form_text").alias("form"))
+
+
 P7_COLS = ["source", "gloss", "translation"]
 
 
@@ -51,6 +82,6 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return expanded(pairs, igt, "ord", P7_COLS).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p6_found, p6_pairs, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_forms, p6_found, p6_pairs, p7_found)}
 
 ORACLES: dict[str, str] = {}
