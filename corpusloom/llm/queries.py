@@ -20,6 +20,25 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_counts(spark, d).filter(F.col("mark").isNotNull()).select("tag", "mark")
 
 
+def _p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    chunk = table(spark, d, "chunk").select(F.lit("chunk").alias("tbl"), "ord", "text")
+    return chunk.unionByName(table(spark, d, "section_node").select(F.lit("section_node").alias("tbl"), "ord", F.col("full_text").alias("text")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that had to be cut."""
+    from corpusloom.llm.splitting import split_offsets
+
+    return split_offsets(_p5_texts(spark, d), ["tbl", "ord"], "text").filter((F.col("seg") == 0) & (F.col("k") == 0)).select("tbl", "ord")
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of all oversized texts, in order."""
+    from corpusloom.llm.splitting import split_texts
+
+    return split_texts(_p5_texts(spark, d), ["tbl", "ord"], "text")
+
+
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of tags that stand in the same example, with counts, lift and log-likelihood ratio."""
     from corpusloom.llm.cooccur import pair_statistics
@@ -82,6 +101,6 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return expanded(pairs, igt, "ord", P7_COLS).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_forms, p6_found, p6_pairs, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_pairs, p7_found)}
 
 ORACLES: dict[str, str] = {}
