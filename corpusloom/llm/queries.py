@@ -101,6 +101,31 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return expanded(pairs, igt, "ord", P7_COLS).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_pairs, p7_found)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of each document."""
+    from corpusloom.llm.encoding import encode
+
+    return encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+#: Tokens that a container holds.
+P9_CAPACITY = 2048
+
+
+def p9_pack(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each document, in parts if it is larger than a container."""
+    from corpusloom.llm.encoding import token_counts
+    from corpusloom.llm.packing import pack
+
+    sizes = token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return pack(sizes, "doc_id", "n_tokens", P9_CAPACITY).select("doc_id", "part", F.col("n").alias("n_tokens"), "container")
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are: tokens used, number of parts."""
+    return p9_pack(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("parts"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_pairs, p7_found, p8_ids, p9_pack, p9_containers)}
 
 ORACLES: dict[str, str] = {}
