@@ -39,12 +39,12 @@ LOOKALIKES = {
 _TRANSLATE = str.maketrans(LOOKALIKES)
 _TEXT_LOOKALIKES = "".join(LOOKALIKES)
 #: Characters without any mark of their own.
-INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
-_WIDE = re.compile("[　ﬀ-ﬆ！-￮]")
-_SPACES = re.compile("[   -   　]")
+INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff]")
+_WIDE = re.compile("[\u3000ﬀ-ﬆ！-￮]")
+_SPACES = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
 _HYPHENS = re.compile("[‐‑˗﹣]")
 #: Stands for an apostrophe that may be a letter while candidates are made.
-_MARK = ""
+_MARK = "\ue000"
 _REPAIR = str.maketrans({k: v for k, v in LOOKALIKES.items() if k != "’"} | {_MARK: "ʼ"})
 _SUSPECT = re.compile("[" + re.escape(_TEXT_LOOKALIKES.replace("’", _MARK)) + "]")
 #: As Java patterns: a text without such a character is its own form; a text with such a one may need letters replaced.

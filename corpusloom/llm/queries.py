@@ -126,6 +126,29 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return p9_pack(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("parts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_pairs, p7_found, p8_ids, p9_pack, p9_containers)}
+def _p10(spark: SparkSession, d: str):
+    from corpusloom.llm.pii import fit
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs, fit(docs, table(spark, d, "name_list"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal information as it stands in the texts."""
+    from corpusloom.llm.pii import spans
+
+    docs, model = _p10(spark, d)
+    return spans(docs, "doc_id", model).select("doc_id", "kind", "val").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with placeholders."""
+    from corpusloom.llm.pii import redacted
+
+    docs, model = _p10(spark, d)
+    return redacted(docs, "doc_id", model)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_pairs, p7_found, p8_ids, p9_pack, p9_containers, p10_found, p10_redacted)}
 
 ORACLES: dict[str, str] = {}
