@@ -212,11 +212,11 @@ def votes(text: str, b: int, e: int, kind: str, m: Model, learned: bool = True)
     if learned and m.context and street:
         # a name goes on as long as most of its beginnings do
         ws = street.split()
-        n = [m.context["all"][cell("street " + " ".join(ws[: i + 1]))] for i in range(len(ws))]
+        named = next((i for i, w in enumerate(ws) if i and w not in _ARTICLES), len(ws))
+        n = [m.context["all"][cell("street " + " ".join(ws[named : i + 1]))] for i in range(len(ws))]
         more = 0
         if re.match(rf"{_SP}[{_UP}]", text[e : e + 2]):
-            more = m.context["all"][cell("street " + " ".join([*ws, re.match(r"[\w’'\-]*", text[e + 1 : e + 40])[0].casefold()]))]
-        named = next((i for i, w in enumerate(ws) if i and w not in _ARTICLES), len(ws))
+            more = m.context["all"][cell("street " + " ".join([*ws[named:], re.match(r"[\w’'\-]*", text[e + 1 : e + 40])[0].casefold()]))]
         torn = any(n[i] < 0.4 * n[i - 1] for i in range(named + 1, len(ws)))
         v[5] = -1 if torn or named == len(ws) or more >= 0.4 * max(n[-1], 1) else 1
     return v, {"left": left, "right": right, "strong": strong, "words": words, "street": street}
@@ -323,8 +323,9 @@ def _count_pass(model):
                     for c in (cell(info["left"]), cell(info["right"])):
                         n["all"][c] += 1
                         n["pos"][c] += info["strong"]
-                    if info["street"]:
-                        n["all"][cell("street " + info["street"])] += 1
+                    ws = info["street"].split()
+                    if named := [w for i, w in enumerate(ws) if i and (w not in _ARTICLES or any(x not in _ARTICLES for x in ws[1:i]))]:
+                        n["all"][cell("street " + " ".join(named))] += 1
         at = np.flatnonzero(n["all"])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n["all"][at]), pa.array(n["pos"][at])], ["c", "n", "p"])
 
