@@ -47,9 +47,9 @@ _HYPHENS = re.compile("[‐‑˗﹣]")
 _MARK = "\ue000"
 _REPAIR = str.maketrans({k: v for k, v in LOOKALIKES.items() if k != "’"} | {_MARK: "ʼ"})
 _SUSPECT = re.compile("[" + re.escape(_TEXT_LOOKALIKES.replace("’", _MARK)) + "]")
-#: As Java patterns: a text without such a character is its own form; a text with such a one may need letters replaced.
-CHANGES = "[^\\x00-\\x7e\\u00a1-\\u00ac\\u00ae-\\u02c1\\u1e00-\\u1eff\\u2013-\\u2019\\u201c-\\u201f\\u2026\\u2205\\u00a7]"
-SUSPECTS = "[" + _TEXT_LOOKALIKES.replace("’", "") + "]|’(?=\\p{L})"
+#: A text without such a character needs no letters replaced; one without such a one is its own form.
+_ASKED = re.compile("[" + re.escape(_TEXT_LOOKALIKES.replace("’", "")) + "]|’(?=[^\\W\\d_])")
+_CHANGES = re.compile("[^\\x00-\\x7e\u00a1-\u00ac\u00ae-\u02c1\u1e00-\u1eff\u2013-\u2019\u201c-\u201f\u2026\u2205]")
 BITS = 1 << 23
 
 
@@ -115,88 +115,148 @@ def candidates(text: str) -> list[str]:
     return [candidate(t, line) or t.replace(_MARK, "’") for t in _marked_apostrophes(text).split(" ")]
 
 
-def _plain(batches):
-    for b in batches:
-        text = [plain_form(x) for x in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("field"), b.column("id"), pa.array(text, pa.string()), b.column("raw")], ["field", "id", "text", "raw"])
+def asked(text: str) -> bool:
+    """Whether letters may have to be replaced."""
+    return _ASKED.search(text) is not None or ("’" in text and text.count("’") > text.count("‘"))
+
+
+def _own_form(text: str) -> str:
+    return plain_form(text) if _CHANGES.search(text) else text
+
+
+def _md5(s: str) -> bytes:
+    return hashlib.md5(s.encode("utf-8", "surrogatepass")).digest()
 
 
 def _suspect(batches):
+    """The rows in which letters may have to be replaced, with their tokens and the tokens' candidates."""
     for b in batches:
-        norm = [plain_form(x) for x in b.column("text").to_pylist()]
-        cand = [candidates(x) for x in norm]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("field"), b.column("id"), b.column("raw"), pa.array([x.split(" ") for x in norm], pa.list_(pa.string())), pa.array(cand, pa.list_(pa.string()))],
-            ["field", "id", "raw", "tok", "cand"],
-        )
+        text = b.column("text").to_pylist()
+        rows = [i for i, t in enumerate(text) if asked(t)]
+        norm = [plain_form(text[i]) for i in rows]
+        at = pa.array(rows, pa.int64())
+        words = pa.list_(pa.string())
+        cols = [b.column("field").take(at), b.column("id").take(at), pa.array([_md5(text[i]) for i in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([x.split(" ") for x in norm], words), pa.array([candidates(x) for x in norm], words)], ["field", "id", "raw", "tok", "cand"])
+
+
+def _settled(batches):
+    """Digests of form and text of all other rows."""
+    for b in batches:
+        text = b.column("text").to_pylist()
+        rows = [i for i, t in enumerate(text) if not asked(t)]
+        raw, form = [], []
+        for i in rows:
+            t = text[i]
+            raw.append(_md5(t))
+            f = _own_form(t)
+            form.append(raw[-1] if f is t or f == t else _md5(f))
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("field").take(at), b.column("id").take(at), pa.array(form, pa.binary()), pa.array(raw, pa.binary())], ["field", "id", "form", "raw"])
+
+
+def _settled_text(batches):
+    for b in batches:
+        text = b.column("text").to_pylist()
+        rows = [i for i, t in enumerate(text) if not asked(t)]
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("field").take(at), b.column("id").take(at), pa.array([_own_form(text[i]) for i in rows], pa.string())], ["field", "id", "form_text"])
+
+
+_P = np.uint64(0x9E3779B97F4A7C15)
+_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def token_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and hash of each run of bytes other than space and zero: sums of bytes times powers, by prefix sums."""
+    n = len(raw)
+    gap = (raw == 32) | (raw == 0)
+    edge = np.flatnonzero(np.diff(np.r_[True, gap, True].astype(np.int8)))
+    begin, end = edge[0::2], edge[1::2]
+    if not len(begin):
+        return begin, end, np.zeros(0, np.uint64)
+    powers = np.full(n + 1, _P, np.uint64)
+    powers[0] = 1
+    inverse = np.full(n + 1, _P_INVERSE, np.uint64)
+    inverse[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    np.multiply.accumulate(inverse, out=inverse)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+    h = (sums[end] - sums[begin]) * inverse[begin]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return begin, end, h ^ (h >> np.uint64(32))
+
+
+def _buffer(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("\0".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def _marks(batches):
+    """(word of the bitmap, its bits) for the candidates."""
+    for b in batches:
+        _, _, h = token_hashes(_buffer(b.column("cand").to_pylist()))
+        at = h & np.uint64(BITS - 1)
+        yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["w", "b"])
 
 
 def _hits(bitmap):
+    """Tokens of the texts that the bitmap holds, each once a batch; tokens that ask for repair don't count."""
+
     def run(batches):
         bits = bitmap.value
         for b in batches:
-            col = b.column(0)
-            col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-            h = np.asarray(col.flatten()).view(np.uint64)
-            at = h & np.uint64(BITS - 1)
-            hit = np.unique(h[(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1])
-            yield pa.RecordBatch.from_arrays([pa.array(hit.view(np.int64))], ["h"])
+            found: set[str] = set()
+            texts, size = [], 0
+            for t in [*b.column("text").to_pylist(), None]:
+                if t is not None:
+                    texts.append(plain_form(t) if _CHANGES.search(t) else t)
+                    size += len(t)
+                if texts and (t is None or size > 1_000_000):
+                    raw = _buffer(texts)
+                    begin, end, h = token_hashes(raw)
+                    at = h & np.uint64(BITS - 1)
+                    hit = np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+                    _, first = np.unique(h[hit], return_index=True)
+                    found.update(raw[begin[k] : end[k]].tobytes().decode("utf-8", "surrogatepass") for k in hit[first])
+                    texts, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in found if not _SUSPECT.search(w)], pa.string())], ["cand"])
 
     return run
 
 
 def _bitmap(cands: DataFrame) -> np.ndarray:
-    """Bitmap of the hashes; at most BITS / 64 rows come to the driver."""
-    low = F.col("h").bitwiseAND(BITS - 1)
-    rows = (
-        cands.select(F.shiftright(low, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(63).cast("int")).alias("b"))
-        .groupBy("w")
-        .agg(F.bit_or("b").alias("b"))
-        .toArrow()
-    )
+    """Bitmap of the candidates' hashes; at most BITS / 64 rows come to the driver."""
+    rows = cands.mapInArrow(_marks, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(BITS // 64, np.uint64)
     out[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
     return out
 
 
 def consistent_forms(texts: DataFrame, with_text: bool = False) -> DataFrame:
-    """texts: field, id, text. Gives field, id, form (digest of the consistent form), raw (digest of the text) and,
-    with_text, the form itself as text. Rows with null or empty text are left out."""
-    spark = texts.sparkSession
-    rows = texts.filter(F.col("text") != "").select("field", "id", "text", F.unhex(F.md5("text")).alias("raw"))
-    unpaired = F.char_length(F.replace("text", F.lit("‘"), F.lit(""))) > F.char_length(F.replace("text", F.lit("’"), F.lit("")))
-    suspect, changed = F.col("text").rlike(SUSPECTS) | unpaired, F.col("text").rlike(CHANGES)
-    safe = rows.filter(~suspect & ~changed)
-    plain = rows.filter(~suspect & changed).mapInArrow(_plain, "field string, id long, text string, raw binary")
-    asked = cut(rows.filter(suspect).mapInArrow(_suspect, "field string, id long, raw binary, tok array<string>, cand array<string>"))
-    pairs = asked.select("field", "id", F.explode(F.arrays_zip("tok", "cand")).alias("e")).filter(F.col("e.tok") != F.col("e.cand"))
-    found = (
-        pairs.select("field", "id", F.col("e.cand").alias("cand"))
-        .distinct()
-        .groupBy("cand")
-        .agg(F.count("*").alias("n"))
-        .withColumn("h", F.xxhash64("cand"))
-    )
-    found = cut(found)
-    bitmap = spark.sparkContext.broadcast(_bitmap(found))
-    # the vocabulary: tokens of all texts, in the form before letters are replaced
-    clean = safe.select("text").unionByName(plain.select("text"))
-    unasked = asked.select(F.transform(F.filter("tok", lambda t: ~t.rlike(SUSPECTS)), lambda t: F.xxhash64(t)).alias("w"))
-    tokens = clean.select(F.transform(F.split("text", " "), lambda t: F.xxhash64(t)).alias("w")).unionByName(unasked)
-    known = tokens.mapInArrow(_hits(bitmap), "h long").distinct()
-    accepted = found.join(known.withColumn("known", F.lit(True)), "h", "left").filter(F.col("known") | (F.col("n") > 1)).select("cand", F.lit(True).alias("ok"))
+    """texts: field, id, text. Gives field, id, form (digest of the consistent form) and raw (digest of the text) or,
+    with_text, field, id and form_text. Rows with null or empty text are left out."""
+    rows = texts.filter(F.col("text") != "").select("field", "id", "text")
+    suspects = cut(rows.mapInArrow(_suspect, "field string, id long, raw binary, tok array<string>, cand array<string>"))
+    pairs = suspects.select("field", "id", F.explode(F.arrays_zip("tok", "cand")).alias("e")).filter(F.col("e.tok") != F.col("e.cand"))
+    found = cut(pairs.select("field", "id", F.col("e.cand").alias("cand")).distinct().groupBy("cand").agg(F.count("*").alias("n")))
+    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(found.select("cand")))
+    known = rows.select("text").mapInArrow(_hits(bitmap), "cand string").distinct().withColumn("known", F.lit(True))
+    accepted = found.join(known, "cand", "left").filter(F.col("known") | (F.col("n") > 1)).select("cand", F.lit(True).alias("ok"))
     # few rows: their tokens with the accepted repairs
-    tok = asked.select("field", "id", "raw", F.posexplode(F.arrays_zip("tok", "cand")).alias("pos", "e")).select("field", "id", "raw", "pos", F.col("e.tok").alias("tok"), F.col("e.cand").alias("c"))
+    tok = suspects.select("field", "id", "raw", F.posexplode(F.arrays_zip("tok", "cand")).alias("pos", "e")).select("field", "id", "raw", "pos", F.col("e.tok").alias("tok"), F.col("e.cand").alias("c"))
     repaired = (
         tok.withColumn("cand", F.when(F.col("c") != F.col("tok"), F.col("c")))
         .join(accepted, "cand", "left")
         .groupBy("field", "id", "raw")
         .agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("ok"), F.col("cand")).otherwise(F.col("tok")).alias("t")))).alias("l"))
-        .select("field", "id", F.array_join(F.transform("l", lambda e: e["t"]), " ").alias("text"), "raw")
+        .select("field", "id", F.array_join(F.transform("l", lambda e: e["t"]), " ").alias("form_text"), "raw")
     )
-    every = safe.unionByName(plain).unionByName(repaired)
-    keep = [F.col("text").alias("form_text")] if with_text else []
-    return every.select("field", "id", F.unhex(F.md5("text")).alias("form"), "raw", *keep)
+    if with_text:
+        return rows.mapInArrow(_settled_text, "field string, id long, form_text string").unionByName(repaired.drop("raw"))
+    settled = rows.mapInArrow(_settled, "field string, id long, form binary, raw binary")
+    return settled.unionByName(repaired.select("field", "id", F.unhex(F.md5("form_text")).alias("form"), "raw"))
 
 
 def lookalike_pairs(texts: DataFrame) -> DataFrame:
