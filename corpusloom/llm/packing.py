@@ -46,8 +46,18 @@ def best_fit(sizes, capacity: int) -> tuple[list[int], list[int]]:
     return place, room
 
 
-def _pack_group(capacity: int):
-    """Items (g, key, part, n) of a group -> with bin and fill; a bin is named by the group and its number."""
+def _rising(bins: list[tuple[int, int]], capacity: int, groups: int) -> set[int]:
+    """The bins that go up: those up to half full, of which best fit leaves one to a group, and of the others, which
+    can't be joined with each other, as many of the roomiest as there are groups that may send one to join."""
+    bins = [x for x in bins if x[1] < int(capacity * (1 - NEARLY))]
+    half = [b for b, f in bins if 2 * f <= capacity]
+    rest = sorted((f, b) for b, f in bins if 2 * f > capacity)
+    return {*half, *(b for _, b in rest[: groups + len(half)])}
+
+
+def _pack_group(capacity: int, groups: int):
+    """Items (g, key, part, n) of a group -> with bin, fill and whether the bin goes up; a bin is named by the group
+    and its number."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "key", "part"], ascending=[False, True, True], kind="stable")
@@ -55,13 +65,13 @@ def _pack_group(capacity: int):
         out = pdf.copy()
         out["bin"] = [(int(pdf["g"].iat[0]) << 32) + b for b in place]
         out["fill"] = [capacity - room[b] for b in place]
-        return out
+        return out.assign(up=out["bin"].isin(_rising([(int(b) + (int(pdf["g"].iat[0]) << 32), capacity - r) for b, r in enumerate(room)], capacity, groups)))
 
     return run
 
 
-def _merge_group(capacity: int):
-    """Open bins (g, bin, fill) -> bin, into (the name of its first member), fill."""
+def _merge_group(capacity: int, groups: int):
+    """Open bins (g, bin, fill) -> bin, into (the name of its first member), fill, whether that goes up."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True], kind="stable")
@@ -70,7 +80,9 @@ def _merge_group(capacity: int):
         first: dict[int, int] = {}
         for b, p in zip(bins, place):
             first.setdefault(p, b)
-        return pd.DataFrame({"g": pdf["g"].tolist(), "bin": bins, "into": [first[p] for p in place], "fill": [capacity - room[p] for p in place]})
+        into, fill = [first[p] for p in place], [capacity - room[p] for p in place]
+        up = _rising(list(dict(zip(into, fill)).items()), capacity, groups)
+        return pd.DataFrame({"g": pdf["g"].tolist(), "bin": bins, "into": into, "fill": fill, "up": [b in up for b in into]})
 
     return run
 
@@ -91,26 +103,24 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, group_items: int
     closed = rows.filter(F.col("n") == capacity)
     todo = rows.filter(F.col("n") < capacity)
     groups = max(1, -(-todo.count() // group_items))
-    # full parts need no packing; their containers have negative names
-    whole = closed.select("key", "part", "n", (-F.abs(F.xxhash64("key", "part"))).alias("bin"))
+    # full parts need no packing
+    whole = closed.select("key", "part", "n", F.concat_ws(":", F.lit("full"), "key", "part").alias("container"))
     first = cut(
         todo.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int"))
         .groupBy("g")
-        .applyInPandas(_pack_group(capacity), f"key {kind}, part int, n int, g int, bin long, fill int")
+        .applyInPandas(_pack_group(capacity, groups), f"key {kind}, part int, n int, g int, bin long, fill int, up boolean")
     )
     placed = first.select("key", "part", "n", "bin")
-    least_open = int(capacity * (1 - NEARLY))
-    open_bins = first.groupBy("g", "bin").agg(F.first("fill").alias("fill")).filter(F.col("fill") < least_open)
-    while True:
+    open_bins = first.filter("up").groupBy("g", "bin").agg(F.first("fill").alias("fill"))
+    while groups > 1:
         groups = -(-groups // FAN_IN)
         merged = cut(
-            open_bins.withColumn("g", F.floor(F.col("g") / FAN_IN).cast("int")).groupBy("g").applyInPandas(_merge_group(capacity), "g int, bin long, into long, fill int")
+            open_bins.withColumn("g", F.floor(F.col("g") / FAN_IN).cast("int")).groupBy("g").applyInPandas(_merge_group(capacity, groups), "g int, bin long, into long, fill int, up boolean")
         )
         moved = merged.filter(F.col("bin") != F.col("into")).select("bin", "into")
         placed = placed.join(moved, "bin", "left").select("key", "part", "n", F.coalesce("into", "bin").alias("bin"))
-        if groups == 1:
-            break
-        # bins that no other open bin fits into go no further
-        open_bins = merged.filter(F.col("bin") == F.col("into")).select("g", "bin", "fill").filter(F.col("fill") < least_open)
-        placed = cut(placed)
-    return placed.unionByName(whole).select(F.col("key").alias(key), "part", "n", F.col("bin").alias("container"))
+        if groups > 1:
+            open_bins = merged.filter(F.col("up") & (F.col("bin") == F.col("into"))).select("g", "bin", "fill")
+            placed = cut(placed)
+    packed = placed.select("key", "part", "n", F.concat_ws(":", F.lit("bin"), "bin").alias("container"))
+    return packed.unionByName(whole).select(F.col("key").alias(key), "part", "n", "container")

@@ -151,4 +151,36 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_pairs, p7_found, p8_ids, p9_pack, p9_containers, p10_found, p10_redacted)}
 
-ORACLES: dict[str, str] = {}
+_TAGS = "r AS (SELECT list_distinct(v) AS u, v FROM (SELECT list_filter(gloss_tags, lambda t: t IS NOT NULL AND t <> '') AS v FROM igt) WHERE len(v) > 0), n AS (SELECT count(*) AS n FROM r)"
+_COUNTS = f"{_TAGS}, o AS (SELECT tag, count(*) AS occurrences FROM (SELECT unnest(v) AS tag FROM r) GROUP BY tag), h AS (SELECT tag, count(*) AS records FROM (SELECT unnest(u) AS tag FROM r) GROUP BY tag)"
+_MARK = "CASE WHEN records < 3 THEN 'rare' WHEN 5 * records > n THEN 'common' END"
+_PAIRS = f"{_TAGS}, c AS (SELECT tag, count(*) AS k FROM (SELECT unnest(u) AS tag FROM r) GROUP BY tag), i AS (SELECT row_number() OVER () AS id, u FROM r), e AS (SELECT id, unnest(u) AS tag FROM i), p AS (SELECT x.tag AS tag_a, y.tag AS tag_b, count(*) AS n_ab FROM e x JOIN e y ON x.id = y.id AND x.tag < y.tag GROUP BY ALL), q AS (SELECT tag_a, tag_b, n_ab, a.k AS n_a, b.k AS n_b, n AS n_records FROM p JOIN c a ON a.tag = tag_a JOIN c b ON b.tag = tag_b CROSS JOIN n)"
+
+
+def _cell(k: str, r: str, c: str) -> str:
+    return f"CASE WHEN {k} > 0 THEN {k} * ln({k} * n_records::DOUBLE / (({r})::DOUBLE * ({c}))) ELSE 0 END"
+
+
+_LLR = " + ".join(
+    _cell(*x)
+    for x in (
+        ("n_ab", "n_a", "n_b"),
+        ("(n_a - n_ab)", "n_a", "n_records - n_b"),
+        ("(n_b - n_ab)", "n_records - n_a", "n_b"),
+        ("(n_records - n_a - n_b + n_ab)", "n_records - n_a", "n_records - n_b"),
+    )
+)
+
+#: SQL where DuckDB can say the same on whole tables.
+ORACLES: dict[str, str] = {
+    "p1_found": f"WITH {_COUNTS} SELECT tag, {_MARK} AS mark FROM h CROSS JOIN n WHERE {_MARK} IS NOT NULL",
+    "p1_counts": f"WITH {_COUNTS} SELECT tag, occurrences, records, {_MARK} AS mark FROM o JOIN h USING (tag) CROSS JOIN n",
+    "p5_found": "SELECT 'chunk' AS tbl, ord FROM chunk WHERE length(text) > 2000 UNION ALL SELECT 'section_node', ord FROM section_node WHERE length(full_text) > 2000",
+    "p6_found": f"WITH {_PAIRS} SELECT tag_a, tag_b FROM q WHERE n_ab >= 5 AND n_ab * n_records >= 3 * n_a * n_b",
+    "p6_pairs": f"WITH {_PAIRS} SELECT tag_a, tag_b, n_ab, n_a, n_b, n_records, round(n_ab * n_records / (n_a * n_b), 6) AS lift, round(2 * ({_LLR}), 4) AS llr FROM q",
+    "p7_found": """WITH t AS (SELECT ord, source, gloss, translation, list_distinct(list_filter(string_split(concat(coalesce(source, ''), ' ', coalesce(gloss, ''), ' ', coalesce(translation, '')), ' '), lambda x: x <> '')) AS w FROM igt),
+ e AS (SELECT ord, len(w) AS l, unnest(w) AS w FROM t), f AS (SELECT w, count(*) AS n FROM e GROUP BY w), p AS (SELECT ord, e.w, l, row_number() OVER (PARTITION BY ord ORDER BY n, e.w) AS pos FROM e JOIN f USING (w)),
+ k AS (SELECT * FROM p WHERE pos <= l - ceil(0.6 * l) + 1), c AS (SELECT DISTINCT a.ord AS ord_a, b.ord AS ord_b FROM k a JOIN k b ON a.w = b.w AND a.ord < b.ord AND a.l * 5 >= b.l * 3 AND b.l * 5 >= a.l * 3)
+ SELECT ord_a, ord_b FROM c JOIN t a ON a.ord = ord_a JOIN t b ON b.ord = ord_b WHERE (coalesce(a.source, ''), coalesce(a.gloss, ''), coalesce(a.translation, '')) <> (coalesce(b.source, ''), coalesce(b.gloss, ''), coalesce(b.translation, ''))
+ AND 5 * len(list_intersect(a.w, b.w)) >= 3 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""",
+}
