@@ -310,22 +310,51 @@ def _case_pass(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[False][at]), pa.array(n[True][at])], ["c", "low", "cap"])
 
 
+_REACH = 40
+_PROPOSED = "array<struct<s:int, e:int, kind:string, x:string, o:int>>"
+_PROPOSED_ARROW = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string()), ("x", pa.string()), ("o", pa.int32())]))
+
+
+def proposed(docs: DataFrame, key: str) -> DataFrame:
+    """key, c: the proposed spans of each text that has any, with what stands around them (x) and where in it they
+    begin (o). The patterns run over the texts once; what is learned and decided later needs no more than this."""
+
+    def run(batches):
+        for b in batches:
+            rows, out = [], []
+            for i, t in enumerate(b.column("text").to_pylist()):
+                got = [{"s": s, "e": e, "kind": k, "x": t[max(0, s - _REACH) : e + _REACH], "o": min(s, _REACH)} for s, e, k in propose(t)]
+                if got:
+                    rows.append(i)
+                    out.append(got)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows, pa.int64())), pa.array(out, _PROPOSED_ARROW)], [key, "c"])
+
+    kind = dict(docs.dtypes)[key]
+    return cut(docs.select(key, "text").filter(F.col("text") != "").mapInArrow(run, f"`{key}` {kind}, c {_PROPOSED}"))
+
+
+def _each(batches):
+    """Windows, places and kinds of all proposed spans."""
+    for b in batches:
+        flat = b.column("c").combine_chunks().flatten() if isinstance(b.column("c"), pa.ChunkedArray) else b.column("c").flatten()
+        for s, e, kind, x, o in zip(*(flat.field(f).to_pylist() for f in ("s", "e", "kind", "x", "o"))):
+            yield x, o, o + e - s, kind
+
+
 def _count_pass(model):
     """Per context cell: spans and strong ones, as sparse rows of the task."""
 
     def run(batches):
         m = model.value
         n = {k: np.zeros(CELLS, np.int64) for k in ("all", "pos")}
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                for s, e, kind in propose(t):
-                    _, info = votes(t, s, e, kind, m, learned=False)
-                    for c in (cell(info["left"]), cell(info["right"])):
-                        n["all"][c] += 1
-                        n["pos"][c] += info["strong"]
-                    ws = info["street"].split()
-                    if named := [w for i, w in enumerate(ws) if i and (w not in _ARTICLES or any(x not in _ARTICLES for x in ws[1:i]))]:
-                        n["all"][cell("street " + " ".join(named))] += 1
+        for x, s, e, kind in _each(batches):
+            _, info = votes(x, s, e, kind, m, learned=False)
+            for c in (cell(info["left"]), cell(info["right"])):
+                n["all"][c] += 1
+                n["pos"][c] += info["strong"]
+            ws = info["street"].split()
+            if named := [w for i, w in enumerate(ws) if i and (w not in _ARTICLES or any(y not in _ARTICLES for y in ws[1:i]))]:
+                n["all"][cell("street " + " ".join(named))] += 1
         at = np.flatnonzero(n["all"])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n["all"][at]), pa.array(n["pos"][at])], ["c", "n", "p"])
 
@@ -338,14 +367,12 @@ def _word_pass(model):
     def run(batches):
         m = model.value
         n, p = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                for s, e, kind in propose(t):
-                    if kind == "name":
-                        v, info = votes(t, s, e, kind, m)
-                        for w in info["words"]:
-                            n[cell(w)] += 1
-                            p[cell(w)] += v[4] == 1 and v[2] == 0 and v[6] == 0
+        for x, s, e, kind in _each(batches):
+            if kind == "name":
+                v, info = votes(x, s, e, kind, m)
+                for w in info["words"]:
+                    n[cell(w)] += 1
+                    p[cell(w)] += v[4] == 1 and v[2] == 0 and v[6] == 0
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(p[at])], ["c", "n", "p"])
 
@@ -353,7 +380,7 @@ def _word_pass(model):
 
 
 def _pattern_pass(model):
-    """Counts of vote patterns, and the spans with the smallest hashes (kind, pattern, features)."""
+    """Counts of vote patterns, and the spans with the smallest hashes (kind, pattern, context)."""
 
     def run(batches):
         import heapq
@@ -361,16 +388,13 @@ def _pattern_pass(model):
         m = model.value
         counts: dict = {}
         kept: dict[str, list] = {k: [] for k in KINDS}
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                head = zlib.crc32(t.encode("utf-8", "surrogatepass"))
-                for s, e, kind in propose(t):
-                    v, info = votes(t, s, e, kind, m)
-                    counts[(kind, *v)] = counts.get((kind, *v), 0) + 1
-                    item = (-((head * 2654435761 + s * 40503 + e) & 0xFFFFFFFF), s, tuple(v), info["left"], info["right"], t[s:e])
-                    (heapq.heappush if len(kept[kind]) < SAMPLE else heapq.heappushpop)(kept[kind], item)
+        for x, s, e, kind in _each(batches):
+            v, info = votes(x, s, e, kind, m)
+            counts[(kind, *v)] = counts.get((kind, *v), 0) + 1
+            item = (-zlib.crc32(f"{s} {e} {x}".encode("utf-8", "surrogatepass")), tuple(v), info["left"], info["right"], x[s:e])
+            (heapq.heappush if len(kept[kind]) < SAMPLE else heapq.heappushpop)(kept[kind], item)
         rows = [("n", k[0], list(k[1:]), n, "", "", "") for k, n in counts.items()]
-        rows += [("s", k, list(x[2]), -x[0], x[3], x[4], x[5]) for k, l in kept.items() for x in l]
+        rows += [("s", k, list(y[1]), -y[0], y[2], y[3], y[4]) for k, l in kept.items() for y in l]
         cols = list(zip(*rows)) if rows else [[]] * 7
         types = [pa.string(), pa.string(), pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(cols, types)], ["what", "kind", "v", "n", "left", "right", "val"])
@@ -378,8 +402,9 @@ def _pattern_pass(model):
     return run
 
 
-def fit(docs: DataFrame, names: DataFrame) -> Model:
-    """docs: text. names: name, name_type (given, family). Four passes over the texts, each aggregated in its tasks."""
+def fit(docs: DataFrame, spans_of: DataFrame, names: DataFrame) -> Model:
+    """docs: text; spans_of: their proposed spans; names: name, name_type (given, family). One pass over the texts and
+    three over the spans, each aggregated in its tasks."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select("text").filter(F.col("text") != "")
     if names.count() > MAX_NAMES:
@@ -399,7 +424,7 @@ def fit(docs: DataFrame, names: DataFrame) -> Model:
     m.lower[low["c"].to_numpy()] = True
 
     def table(run, base):
-        rows = docs.mapInArrow(run(sc.broadcast(base)), "c int, n long, p long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).toArrow()
+        rows = spans_of.select("c").mapInArrow(run(sc.broadcast(base)), "c int, n long, p long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).toArrow()
         n, p = np.zeros(CELLS, np.float32), np.zeros(CELLS, np.float32)
         n[rows["c"].to_numpy()], p[rows["c"].to_numpy()] = rows["n"].to_numpy(), rows["p"].to_numpy()
         return n, p
@@ -408,7 +433,7 @@ def fit(docs: DataFrame, names: DataFrame) -> Model:
     m.context = {"all": n, "pos": p}
     n, p = table(_word_pass, m)
     m.words = np.where((p >= 2) & (p >= 0.4 * n), 1, np.where((n >= 20) & (p < 0.05 * n), -1, 0)).astype(np.int8)
-    found = docs.mapInArrow(_pattern_pass(sc.broadcast(m)), "what string, kind string, v array<int>, n long, left string, right string, val string")
+    found = spans_of.select("c").mapInArrow(_pattern_pass(sc.broadcast(m)), "what string, kind string, v array<int>, n long, left string, right string, val string")
     found = cut(found)
     patterns = found.filter("what = 'n'").groupBy("kind", "v").agg(F.sum("n").alias("n")).collect()
     for k in KINDS:
@@ -426,17 +451,15 @@ def fit(docs: DataFrame, names: DataFrame) -> Model:
     return m
 
 
-def find(text: str | None, m: Model) -> list[tuple[int, int, str]]:
-    """Accepted spans of a text, without overlap, in order."""
-    if not text:
-        return []
+def decide(spans_of: list[tuple[int, int, str, str, int]], m: Model) -> list[tuple[int, int, str]]:
+    """Accepted spans of a text's proposed ones (begin, end, kind, window, begin in it), without overlap, in order."""
     got = []
-    for s, e, kind in propose(text):
+    for s, e, kind, x, o in spans_of:
         if kind not in m.reliability:
             continue
-        v, info = votes(text, s, e, kind, m)
+        v, info = votes(x, o, o + e - s, kind, m)
         z = posterior_logit(v, m.reliability[kind])
-        p = float(m.weights[features(text, s, e, kind, v, info, z)].sum())
+        p = float(m.weights[features(x, o, o + e - s, kind, v, info, z)].sum())
         if p > 0:
             # firmer kinds, then spans that fewer labelers reject, then longer ones
             order = KINDS.index(kind) if v[0] == 1 or kind == "name" else len(KINDS)
@@ -448,25 +471,31 @@ def find(text: str | None, m: Model) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
-def spans(docs: DataFrame, key: str, model: Model) -> DataFrame:
-    """key, kind, val, begin, end of each span; docs: key, text."""
-    m = docs.sparkSession.sparkContext.broadcast(model)
-    kind = dict(docs.dtypes)[key]
+def find(text: str | None, m: Model) -> list[tuple[int, int, str]]:
+    """Accepted spans of a text."""
+    return decide([(s, e, k, text[max(0, s - _REACH) : e + _REACH], min(s, _REACH)) for s, e, k in propose(text)], m) if text else []
+
+
+def spans(spans_of: DataFrame, key: str, model: Model) -> DataFrame:
+    """key, kind, val, begin, end of each accepted span, from the proposed ones."""
+    m = spans_of.sparkSession.sparkContext.broadcast(model)
+    kind = dict(spans_of.dtypes)[key]
 
     def run(batches):
         for b in batches:
             rows, out = [], []
-            for i, t in enumerate(b.column("text").to_pylist()):
-                for s, e, k in find(t, m.value):
+            for i, c in enumerate(b.column("c").to_pylist()):
+                by = {(x["s"], x["e"]): x["x"][x["o"] : x["o"] + x["e"] - x["s"]] for x in c}
+                for s, e, k in decide([(x["s"], x["e"], x["kind"], x["x"], x["o"]) for x in c], m.value):
                     rows.append(i)
-                    out.append((k, t[s:e], s, e))
+                    out.append((k, by[s, e], s, e))
             c = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [b.column(key).take(pa.array(rows, pa.int64())), pa.array(list(c[0]), pa.string()), pa.array(list(c[1]), pa.string()), pa.array(list(c[2]), pa.int32()), pa.array(list(c[3]), pa.int32())],
                 [key, "kind", "val", "begin", "end"],
             )
 
-    return docs.select(key, "text").filter(F.col("text") != "").mapInArrow(run, f"`{key}` {kind}, kind string, val string, begin int, end int")
+    return spans_of.mapInArrow(run, f"`{key}` {kind}, kind string, val string, begin int, end int")
 
 
 def redact_text(text: str | None, m: Model) -> str | None:

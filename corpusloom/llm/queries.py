@@ -127,25 +127,26 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p10(spark: SparkSession, d: str):
-    from corpusloom.llm.pii import fit
+    from corpusloom.llm.pii import fit, proposed
 
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs, fit(docs, table(spark, d, "name_list"))
+    spans_of = proposed(docs, "doc_id")
+    return docs, spans_of, fit(docs, spans_of, table(spark, d, "name_list"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Personal information as it stands in the texts."""
     from corpusloom.llm.pii import spans
 
-    docs, model = _p10(spark, d)
-    return spans(docs, "doc_id", model).select("doc_id", "kind", "val").distinct()
+    _, spans_of, model = _p10(spark, d)
+    return spans(spans_of, "doc_id", model).select("doc_id", "kind", "val").distinct()
 
 
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The texts with placeholders."""
     from corpusloom.llm.pii import redacted
 
-    docs, model = _p10(spark, d)
+    docs, _, model = _p10(spark, d)
     return redacted(docs, "doc_id", model)
 
 
