@@ -121,7 +121,7 @@ def block_keys(h, rec, pos, size, cnt, num, den):
             if len(j):
                 nf.append(first[ok])
                 nl.append(j)
-                nk.append(_mix(key[ok] ^ (h[j] + np.uint64(left.max()))))
+                nk.append(_mix(key[ok] ^ (h[j] + left[ok].astype(np.uint64))))
                 nleft.append(left[ok] - 1)
                 nlim.append(lim[ok])
         if not nf:
