@@ -16,6 +16,7 @@ case of p10_found and is replaced at both places; spans never overlap in the red
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -33,6 +34,8 @@ CELLS, WORD_CELLS = 1 << 18, 1 << 20
 #: Spans per kind that the classifier is trained on, at most; names that a gazetteer may have to be broadcast.
 SAMPLE, MAX_NAMES = 20_000, 2_000_000
 VOTES = 8
+#: Weight of an abstention, between none and that of a vote.
+ABSTAINS = 0.2
 
 # ---- proposals. Formats and words of the languages covered -------------------------------------------
 
@@ -67,7 +70,7 @@ _NAME = re.compile(
     rf"(?<![\w@.\-'’])(?=(?P<a>{_WORD}(?:-{_WORD})?{_SP}(?:[{_UP}]\.{_SP}?)?{_PART}{_WORD}(?:-{_WORD})?)(?![\w@]))?(?=(?P<b>{_PART}(?P<d>{_WORD}(?:-{_WORD})?,{_SP}{_WORD}(?:-{_WORD})?(?:{_SP}[{_UP}]\.)?))(?![\w@]))?(?=(?P<c>(?:[{_UP}]\.{_SP}?){{1,2}}{_PART}{_WORD}(?:-{_WORD})?)(?![\w@]))?"
     rf"(?=[{_UP}]|(?:van|von|de|di|del|da|du|le){_SP}[{_UP}]|[ae]l-[{_UP}])"
 )
-_TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "mme", "mlle", "m", "sr", "sra", "don", "doña", "señor", "señora", "monsieur", "madame", "doktor", "professor"}
+_TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "mme", "mlle", "sr", "sra", "don", "doña", "señor", "señora", "monsieur", "madame", "doktor", "professor"}
 _PARTICLES = {"al", "el", "van", "von", "der", "den", "de", "la", "di", "del", "da", "du", "le"}
 _ARTICLES = {"de", "la", "le", "les", "des", "du", "d’", "d'", "l’", "l'"}
 _CUES = {
@@ -202,9 +205,10 @@ def votes(text: str, b: int, e: int, kind: str, m: Model, learned: bool = True)
         v[6] = -1 if _CONTRARY.search(before) and not v[3] else 0
         strong = v[0] == 1 and v[6] == 0
     if learned and m.context:
-        shares = [(m.context["pos"][c] + 0.5) / (m.context["all"][c] + 1.0) for c in (cell(left), cell(right)) if m.context["all"][c] >= 5]
-        if shares:
-            v[4] = 1 if max(shares) >= 0.75 else -1 if max(shares) <= 0.1 else 0
+        # log-odds of both sides together; a context seen fewer than 5 times says nothing
+        sides = [(m.context["pos"][c], m.context["all"][c]) for c in (cell(left), cell(right)) if m.context["all"][c] >= 5]
+        odds = sum(math.log((p + 0.5) / (n - p + 0.5)) for p, n in sides)
+        v[4] = 1 if odds >= 1.1 else -1 if odds <= -2.2 else 0
     if learned and m.words is not None and kind == "name" and words:
         known = [m.words[cell(w)] for w in words]
         v[5] = min(known)
@@ -236,7 +240,8 @@ def _lower(word: str, m: Model) -> bool:
 
 
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[float, np.ndarray, np.ndarray]:
-    """Prior and P(vote | truth) of each labeler for yes and no, from counts of vote patterns (two-class EM)."""
+    """Prior and log P(vote | truth) of each labeler for yes and no, from counts of vote patterns (two-class EM). That a
+    labeler abstains says little, since gazetteers and cue lists are incomplete: it counts by ABSTAINS."""
     pats = np.array(sorted(patterns), np.int64).reshape(len(patterns), -1)
     n = np.array([patterns[tuple(p)] for p in pats.tolist()], float)
     one_hot = np.stack([pats == x for x in (-1, 0, 1)], -1).astype(float)
@@ -248,10 +253,12 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[fl
         # pseudo counts keep a labeler's yes on the side of truth
         p1 = np.einsum("p,plv->lv", w1, one_hot) + np.array([0.5, 1.0, 2.0])
         p0 = np.einsum("p,plv->lv", w0, one_hot) + np.array([2.0, 1.0, 0.5])
-        p1, p0 = p1 / p1.sum(1, keepdims=True), p0 / p0.sum(1, keepdims=True)
-        logit = np.log(prior / (1 - prior)) + np.einsum("plv,lv->p", one_hot, np.log(p1) - np.log(p0))
+        l1, l0 = np.log(p1 / p1.sum(1, keepdims=True)), np.log(p0 / p0.sum(1, keepdims=True))
+        l1[:, 1] *= ABSTAINS
+        l0[:, 1] *= ABSTAINS
+        logit = np.log(prior / (1 - prior)) + np.einsum("plv,lv->p", one_hot, l1 - l0)
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return float(prior), np.log(p1), np.log(p0)
+    return float(prior), l1, l0
 
 
 def posterior_logit(v: list[int], r: tuple[float, np.ndarray, np.ndarray]) -> float:
