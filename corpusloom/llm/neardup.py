@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 CELLS = 1 << 18
 #: A word in more sets than this is not a block of its own; every factor of ten beyond asks for one more shared word.
 HOT = 2000
-#: Sets under this size meet on single words only.
+#: Sets under this size may share fewer words than a deep key has.
 SHORT = 8
 #: Members of a leaf and children of an upper node of the index.
 FAN = 16
@@ -94,43 +94,40 @@ def block_keys(h, rec, pos, size, cnt, num, den):
     """(index of the word that brings the record to the block, key), vectorised over the words of many records.
 
     h, rec, pos, size, cnt: of each word its hash, record, place in the record's order, the record's size, the count.
+    The first shared word decides by its count how many shared words make a key, so both records agree on it. Sets of
+    SHORT words or more make keys of any depth among themselves. A pair with a smaller set may share fewer words; it
+    meets on keys of its own, of two words at most (one, if a set has one word and the other thus has no more).
     """
     n = len(h)
     idx = np.arange(n)
     prefix = size - _need(size, num, den) + 1
     with np.errstate(divide="ignore"):
         depth = 1 + np.clip(np.ceil(np.log10(np.maximum(cnt, 1) / HOT)), 0, 4).astype(np.int64)
+    begin = (pos < prefix) & (cnt > 1)
+    kinds = (
+        (begin & (size >= SHORT), depth, 0x9E3779B97F4A7C15),
+        (begin & (size > 1) & (size * num < SHORT * den), np.minimum(depth, 2), 0xD1B54A32D192ED03),
+        (begin & (size == 1), np.ones_like(depth), 0x94D049BB133111EB),
+    )
     out_i, out_k = [], []
-    # single words: rare ones, and all of short sets and of those that can meet short ones
-    m = idx[(pos < prefix) & (depth == 1) & (size >= SHORT) & (cnt > 1)]
-    out_i.append(m)
-    out_k.append(_mix(h[m] ^ np.uint64(0x9E3779B97F4A7C15)))
-    m = idx[(pos < prefix) & (size * num < SHORT * den) & (cnt > 1)]
-    out_i.append(m)
-    out_k.append(_mix(h[m] ^ np.uint64(0xD1B54A32D192ED03)))
-    # frequent words: with the next shared words
-    first = idx[(pos < prefix) & (depth > 1) & (size >= SHORT)]
-    last, key, left, lim = first, _mix(h[first] ^ np.uint64(0x94D049BB133111EB)), depth[first] - 1, prefix[first] + depth[first] - 1
-    while len(first):
-        nf, nl, nk, nleft, nlim = [], [], [], [], []
-        most = int((np.minimum(lim, size[first]) - pos[last]).max()) if len(first) else 0
-        for d in range(1, most + 1):
-            # of the first `depth` shared words, the one with `left` more to come lies before lim - left + 1
-            ok = pos[last] + d < np.minimum(lim - left + 1, size[first])
-            j = last[ok] + d
-            if len(j):
-                nf.append(first[ok])
-                nl.append(j)
-                nk.append(_mix(key[ok] ^ (h[j] + left[ok].astype(np.uint64))))
-                nleft.append(left[ok] - 1)
-                nlim.append(lim[ok])
-        if not nf:
-            break
-        first, last, key, left, lim = map(np.concatenate, (nf, nl, nk, nleft, nlim))
-        done = left == 0
-        out_i.append(last[done])
-        out_k.append(key[done])
-        first, last, key, left, lim = (x[~done] for x in (first, last, key, left, lim))
+    for here, deep, salt in kinds:
+        first = idx[here]
+        last, key, left, lim = first, _mix(h[first] ^ np.uint64(salt)), deep[first] - 1, prefix[first] + deep[first] - 1
+        while len(last):
+            done = left == 0
+            out_i.append(last[done])
+            out_k.append(key[done])
+            last, key, left, lim = (x[~done] for x in (last, key, left, lim))
+            # of the first `deep` shared words, the one with `left` to come, itself included, lies before lim - left + 1
+            stop = np.minimum(lim - left + 1, size[last])
+            steps = []
+            for d in range(1, int((stop - pos[last]).max(initial=0))):
+                ok = pos[last] + d < stop
+                j = last[ok] + d
+                steps.append((j, _mix(key[ok] ^ (h[j] + left[ok].astype(np.uint64))), left[ok] - 1, lim[ok]))
+            if not steps:
+                break
+            last, key, left, lim = map(np.concatenate, zip(*steps))
     return np.concatenate(out_i), np.concatenate(out_k)
 
 
@@ -300,7 +297,9 @@ def _search(num: int, den: int):
 
 
 def near_duplicates(df: DataFrame, key: str, cols: list[str], num: int = 4, den: int = 5, sep: str = " ") -> DataFrame:
-    """Pairs of class representatives: a, b (a < b), shared, united."""
+    """Pairs of class representatives: a, b (a < b), shared, united. The threshold num/den is over one half."""
+    if not den < 2 * num <= 2 * den:
+        raise ValueError("the similarity must be over one half, and one at most")
     spark = df.sparkSession
     reps = (
         df.select(class_key(cols).alias("ck"), F.col(key).cast("long").alias("id"), words(cols, sep).alias("w"))
