@@ -32,6 +32,14 @@ def tokens(ex: DataFrame) -> DataFrame:
     return ex.select("lang", "ord", "example_id", "sec", F.size("tags").alias("n"), F.posexplode("tags").alias("i", "tag"))
 
 
+def marked_tokens(ex: DataFrame) -> DataFrame:
+    """tokens with new: 1 at one of the places of each distinct tag of an example, else 0, so that examples are counted
+    without a distinct aggregation. Tags are sorted within the example, equal ones stand together."""
+    s = ex.select("lang", "ord", F.array_sort(F.transform("tags", lambda t, i: F.struct(t.alias("tag"), i.alias("i")))).alias("s"))
+    new = F.transform("s", lambda x, k: F.struct(x["tag"].alias("tag"), x["i"].alias("i"), F.when((k > 0) & (F.get("s", k - 1)["tag"] == x["tag"]), 0).otherwise(1).alias("new")))
+    return s.select("lang", "ord", F.size("s").alias("n"), F.explode(new).alias("e")).select("lang", "ord", "n", "e.*")
+
+
 def corpus_sizes(ex: DataFrame) -> DataFrame:
     return ex.groupBy("lang").agg(F.count("*").alias("n_examples"))
 
@@ -51,7 +59,7 @@ def place_in_corpus(*parts: str) -> Column:
 
 def tag_profiles(ex: DataFrame) -> DataFrame:
     """Count, coverage (tokens per example), relative position and its label, by language and tag."""
-    t = tokens(ex).withColumn("pos", F.when(F.col("n") > 1, F.col("i") / (F.col("n") - 1)).otherwise(0.5))
+    t = marked_tokens(ex).withColumn("pos", F.when(F.col("n") > 1, F.col("i") / (F.col("n") - 1)).otherwise(0.5))
     mean, std = steady(F.avg("pos")), steady(F.coalesce(F.stddev_samp("pos"), F.lit(0.0)))
     label = (
         F.when(F.col("std") >= 0.15, "flexible")
@@ -59,7 +67,7 @@ def tag_profiles(ex: DataFrame) -> DataFrame:
         .when(F.col("mean") > 0.75, "postverbal/final")
         .otherwise("medial-fixed")
     )
-    prof = t.groupBy("lang", "tag").agg(F.count("*").alias("cnt"), F.countDistinct("ord").alias("n_holding"), mean.alias("mean"), std.alias("std"), F.min(place_in_corpus("i")).alias("first"))
+    prof = t.groupBy("lang", "tag").agg(F.count("*").alias("cnt"), F.sum("new").alias("n_holding"), mean.alias("mean"), std.alias("std"), F.min(place_in_corpus("i")).alias("first"))
     return prof.join(corpus_sizes(ex), "lang").select(
         "lang", "tag", "cnt", (F.col("cnt") / F.col("n_examples")).alias("coverage"), "n_holding",
         F.round("mean", 3).alias("mean_pos"), F.round("std", 3).alias("std_pos"), label.alias("position"), "first", "n_examples",
