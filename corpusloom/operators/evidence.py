@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.constants import CLAIM_WEIGHTS, CONTRADICTION_FROM, OTHER_WEIGHT
+from corpusloom.operators.stats import top_per
 
 
 def claim_ids(claims: DataFrame) -> DataFrame:
@@ -90,6 +91,16 @@ def gaps(claims: DataFrame, has_igt: bool = True) -> DataFrame:
     return g.select("graph_id", F.array_join(names, "; ").alias("gaps"), cover.alias("coverage"), "n_igt", "n_sure")
 
 
+def summary(claims: DataFrame, shown: int = 200) -> DataFrame:
+    """graph_id, verdict, confidence, claims by side (over all) and, as the text a reader gets, a JSON list of the first
+    claims in order, texts cut to 200 characters."""
+    one = F.struct("seq", "claim_id", "claim_type", "confidence", "supports", F.substring("text", 1, 200).alias("text"), "source")
+    first = top_per(claims, ["graph_id"], [F.asc("seq")], shown, "r").withColumn("claim_id", F.format_string("C%03d", "r"))
+    told = first.groupBy("graph_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("claims"))
+    n = claims.groupBy("graph_id").agg(F.count("*").alias("n"), F.count_if(F.col("supports").isNull()).alias("neutral"))
+    return confidence(claims).join(n, "graph_id").join(told, "graph_id")
+
+
 def example_notes(claims: DataFrame) -> DataFrame:
     """graph_id, example_id, note, source, claim_type of the most confident claim that cites it (the first of equals);
     ids of chunks are no examples."""

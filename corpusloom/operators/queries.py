@@ -283,6 +283,25 @@ def igt_candidates(spark, d):
     return tools.candidates(_ex(spark, d), ["PST", "NEG"], "a young man by the river")
 
 
+@query(f"""{_BASE}, t AS (SELECT lang, tag, count(*) AS n, min(ord * 1000 + i) AS first FROM tok GROUP BY lang, tag), s AS (SELECT lang, source_section AS tag, count(*) AS n, min(ord) AS first FROM ex WHERE source_section <> '' GROUP BY ALL)
+ SELECT lang, 'tag' AS part, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first) AS rank, tag AS name, n FROM t QUALIFY rank <= 50
+ UNION ALL SELECT lang, 'place', row_number() OVER (PARTITION BY lang ORDER BY n DESC, first) AS rank, tag, n FROM s QUALIFY rank <= 20
+ UNION ALL SELECT lang, 'examples', 1, '', n_examples FROM size UNION ALL SELECT coalesce(lang, ''), 'tones', 1, '', count(*) FROM igt WHERE tones <> '' GROUP BY ALL UNION ALL SELECT lang, 'tags', 1, '', count(*) FROM t GROUP BY lang""")
+def gloss_statistics(spark, d):
+    return stats.gloss_statistics(_ex(spark, d))
+
+
+@query(f"""{_BASE}, s AS (SELECT *, (contains(upper(gloss), 'YOUNG') OR contains(upper(translation), 'YOUNG') OR list_contains(tags, 'YOUNG'))::INT + (contains(upper(gloss), 'PST') OR contains(upper(translation), 'PST') OR list_contains(tags, 'PST'))::INT AS score FROM ex)
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, ord DESC) AS rank, ord, example_id, score FROM s WHERE score > 0 QUALIFY rank <= 5""")
+def keyword_examples(spark, d):
+    return tools.keyword_examples(_ex(spark, d), "a young PST")
+
+
+@query(f"{_BASE} SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY ord) AS rank, ord, example_id FROM ex WHERE list_has_any(tags, {TAG_CLUSTERS['NEGATION']}) QUALIFY rank <= 8")
+def category_examples(spark, d):
+    return tools.category_examples(_ex(spark, d), "NEGATION")
+
+
 def _asked_ids(spark, d):
     """Ids to look up: the chunks of each assembled section, every second one as a sub-chunk that doesn't exist."""
     s = table(spark, d, "section_node").select("lang", "ord", F.posexplode("chunk_ids").alias("i", "c"))
@@ -455,7 +474,15 @@ def context_window(spark, d):
 @query(f"""WITH {_CH}, f AS (SELECT lang, chapter, section, subsection, subsubsection, min(ord) AS ord FROM ch GROUP BY ALL)
  SELECT f.lang, row_number() OVER (PARTITION BY f.lang ORDER BY f.ord) AS rank, c.chunk_id, f.chapter, f.section, CASE WHEN f.subsubsection <> '' THEN 4 WHEN f.subsection <> '' THEN 3 WHEN f.section <> '' THEN 2 ELSE 1 END AS level, c.label FROM f JOIN ch c ON c.ord = f.ord QUALIFY rank <= 300""")
 def toc_first_chunk(spark, d):
-    return sections.contents(_chunks(spark, d))
+    return sections.contents(_chunks(spark, d)).drop("ord")
+
+
+@query(f"""WITH {_CH}, f AS (SELECT lang, chapter, section, subsection, subsubsection, min(ord) AS ord FROM ch GROUP BY ALL), t AS (SELECT f.lang, row_number() OVER (PARTITION BY f.lang ORDER BY f.ord) AS rank, f.chapter || ' > ' || f.section AS header, c.summary FROM f JOIN ch c ON c.ord = f.ord)
+ SELECT lang, rank, header, used FROM (SELECT *, sum(length(header) + length(summary)) OVER (PARTITION BY lang ORDER BY rank) AS used FROM t WHERE rank <= 300) WHERE used <= 3000""")
+def toc_digest(spark, d):
+    v = _chunks(spark, d)
+    toc = sections.contents(v).join(v.select("ord", "summary"), "ord")
+    return sections.digest(toc.withColumn("header", F.concat_ws(" > ", "chapter", "section"))).select("lang", "rank", "header", "used")
 
 
 # ---- dictionary -----------------------------------------------------------------------------------------------------
@@ -534,6 +561,11 @@ def evidence_gaps(spark, d):
     return evidence.gaps(_claims(spark, d))
 
 
+@query()
+def evidence_summary(spark, d):
+    return evidence.summary(_claims(spark, d))
+
+
 @query(f"""WITH {_CLAIMS} SELECT graph_id, example_id, substr(text, 1, 120) AS note, source, claim_type, seq FROM cl QUALIFY row_number() OVER (PARTITION BY graph_id, example_id ORDER BY confidence DESC, seq) = 1""")
 def example_best_note(spark, d):
     return evidence.example_notes(_claims(spark, d))

@@ -104,7 +104,14 @@ def contents(view: DataFrame, skip_subsections: bool = False, k: int = 300) -> D
     key = [F.when(F.lit(skip_subsections) & (F.col("subsection") != ""), F.lit(None)).otherwise(F.col(c)).alias(f"k_{c}") for c in NAMES[2:]]
     keyed = view.select("*", *key)
     first = keyed.groupBy("lang", "chapter", "section", "k_subsection", "k_subsubsection").agg(F.min_by(F.struct("chunk_id", "level", "label", "ord"), "ord").alias("c"))
-    return top_per(first.select("lang", "chapter", "section", "c.*"), ["lang"], [F.asc("ord")], k).select("lang", "rank", "chunk_id", "chapter", "section", "level", "label")
+    return top_per(first.select("lang", "chapter", "section", "c.*"), ["lang"], [F.asc("ord")], k).select("lang", "rank", "ord", "chunk_id", "chapter", "section", "level", "label")
+
+
+def digest(toc: DataFrame, budget: int = 3000) -> DataFrame:
+    """Entries of a table of contents (lang, rank, header, summary) as long as their lengths stay within the budget."""
+    size = F.length("header") + F.length(F.coalesce("summary", F.lit("")))
+    before = F.sum(size).over(Window.partitionBy("lang").orderBy("rank"))
+    return toc.withColumn("used", before).filter(F.col("used") <= budget)
 
 
 def plain_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -24,7 +24,8 @@ def examples(igt: DataFrame) -> DataFrame:
     strings = ["lang", "example_id", "source", "morpheme", "gloss", "translation", "chapter", "section", "subsection", "subsubsection", "source_section"]
     tags = F.coalesce(F.filter("gloss_tags", lambda t: t.isNotNull() & (t != "")), F.array().cast("array<string>"))
     sec = F.when(text_of("source_section") != "", F.col("source_section")).otherwise(text_of("section"))
-    return igt.select("ord", *[text_of(c).alias(c) for c in strings], tags.alias("tags"), sec.alias("sec"))
+    tones = text_of("tones") if "tones" in igt.columns else F.lit("")
+    return igt.select("ord", *[text_of(c).alias(c) for c in strings], tones.alias("tones"), tags.alias("tags"), sec.alias("sec"))
 
 
 def tokens(ex: DataFrame) -> DataFrame:
@@ -231,6 +232,23 @@ def tag_neighbours(ex: DataFrame, top_n: int = 12) -> DataFrame:
     return top_per(r.drop("rank").withColumn("prank", F.col("cooc")), ["lang", "seed"], [F.desc("pmi"), F.desc("cooc"), F.asc("partner")], top_n).select("lang", "seed", "rank", "partner", "cooc", "pmi")
 
 
+def gloss_statistics(ex: DataFrame, tags: int = 50, places: int = 20) -> DataFrame:
+    """Overview in long form (part, rank, name, n): size, the most frequent tags and places, examples with a tone line."""
+    t = tokens(ex).groupBy("lang", "tag").agg(F.count("*").alias("n"), F.min(place_in_corpus("i")).alias("first"))
+    s = ex.filter("source_section <> ''").groupBy("lang", F.col("source_section").alias("tag")).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    order = [F.desc("n"), F.asc("first")]
+    part = lambda df, name: df.select("lang", F.lit(name).alias("part"), "rank", F.col("tag").alias("name"), "n")
+    one = lambda df, name: df.select("lang", F.lit(name).alias("part"), F.lit(1).alias("rank"), F.lit("").alias("name"), "n")
+    sizes = ex.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("tones") != "").alias("tones"))
+    return (
+        part(top_per(t, ["lang"], order, tags), "tag")
+        .unionByName(part(top_per(s, ["lang"], order, places), "place"))
+        .unionByName(one(sizes, "examples"))
+        .unionByName(one(sizes.select("lang", F.col("tones").alias("n")).filter("n > 0"), "tones"))
+        .unionByName(one(t.groupBy("lang").agg(F.count("*").alias("n")), "tags"))
+    )
+
+
 def tag_inventory(ex: DataFrame, top_n: int = 60) -> DataFrame:
     """The most frequent tags with their category; a tag of two categories has the last."""
     last = {t: k for k, ts in TAG_CLUSTERS.items() for t in ts}

@@ -12,7 +12,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.constants import KEYWORD_STOP, PHRASES, SEMANTIC_CLUSTERS, TRANSLATION_STOP
+from corpusloom.operators.constants import KEYWORD_STOP, PHRASES, SEMANTIC_CLUSTERS, TAG_CLUSTERS, TRANSLATION_STOP
 from corpusloom.operators.stats import ordinal, place_in_corpus, tag_profiles, tokens, top_per
 
 
@@ -183,6 +183,26 @@ def candidates(ex: DataFrame, tags: list[str], text: str, k: int = 10) -> DataFr
     return top_per(ex.withColumn("score", score).filter("score > 0"), ["lang"], [F.desc("score"), F.desc("ord")], k).select("lang", "rank", "ord", "example_id", "score")
 
 
+def keyword_examples(ex: DataFrame, query: str, k: int = 5) -> DataFrame:
+    """Examples by the number of query words (three letters or more, upper case) in gloss, translation or tags; of equal
+    numbers the later example first."""
+    words = [w.upper() for w in re.findall(r"[a-zA-Z]{3,}", query)]
+    hit = lambda w: F.contains(F.upper("gloss"), F.lit(w)) | F.contains(F.upper("translation"), F.lit(w)) | F.array_contains("tags", w)
+    score = sum((F.when(hit(w), 1).otherwise(0) for w in words), F.lit(0))
+    return top_per(ex.withColumn("score", score).filter("score > 0"), ["lang"], [F.desc("score"), F.desc("ord")], k).select("lang", "rank", "ord", "example_id", "score")
+
+
+def category_examples(ex: DataFrame, category: str, k: int = 8) -> DataFrame:
+    """The first examples with any tag of a category."""
+    return first_rows(ex.filter(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in TAG_CLUSTERS[category]]))), k).select("lang", "rank", "ord", "example_id")
+
+
+def plan_tags(planned: list[str], candidates: list[str]) -> list[str]:
+    """Planned tags if any of them is a candidate; else the first five candidates."""
+    up = {t.upper() for t in candidates}
+    return candidates[:5] if candidates and not any(t.upper() in up for t in planned) else planned
+
+
 def lookup(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """ids: lang, pos, id -> the (last) row of each id, in the order asked, missing ones left out."""
     last = rows.withColumn("_r", F.row_number().over(Window.partitionBy("lang", key).orderBy(F.desc("ord")))).filter("_r = 1").drop("_r")

@@ -55,6 +55,20 @@ def universal_verdicts(labelled: DataFrame, model: DataFrame | None = None) -> D
     return n.withColumn("verdict", counted).drop("n", "said")
 
 
+def select_universals(universals: DataFrame, statement: DataFrame | None = None, ids: list[str] | None = None, domain: str | None = None, every: bool = False) -> DataFrame:
+    """Which universals to test: a statement of one's own (a row of the same columns), else ids, else a domain in any
+    case, else all. Nothing chosen is an error."""
+    if statement is not None:
+        return statement
+    if ids:
+        return universals.filter(F.col("id").isin(ids))
+    if domain:
+        return universals.filter(F.upper("domain") == domain.upper())
+    if every:
+        return universals
+    raise ValueError("choose a statement, ids, a domain or all")
+
+
 def display_category(v: DataFrame) -> DataFrame:
     return v.withColumn("category", F.when(F.col("violates"), "VIOLATES").when(~F.col("antecedent_holds").eqNullSafe(False), "SUPPORTS").otherwise("NA"))
 

@@ -11,7 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.functions.abbrev import for_phenomenon
 from corpusloom.operators import evidence, verdicts
+from corpusloom.operators.tools import plan_tags
 from corpusloom.plans.model import LanguageModel, Usage, ask
 from corpusloom.plans.registry import TOOLS, Corpus, call
 from corpusloom.schemas import CLAIM
@@ -74,7 +76,8 @@ def answer(spark: SparkSession, corpus: Corpus, model: LanguageModel, question:
     plan = ask(model, "query_plan", f"PLAN\nQuestion: {question}\nTools: {', '.join(sorted(TOOLS))}", usage)
     for s in plan.get("target_sections", [])[:3]:
         step("read_full_section", {"query": s})
-    for t in plan.get("igt_tags_to_check", [])[:5]:
+    known = [r["tag"] for r in for_phenomenon(corpus.abbrev, question).collect()]
+    for t in plan_tags(plan.get("igt_tags_to_check", []), known)[:5]:
         step("analyse_tag", {"tag": t})
     for c in plan.get("constructions", [])[:3]:
         step("analyse_construction", {"tags": c})

@@ -148,7 +148,7 @@ def get_morpheme_forms(c: Corpus, tag: str) -> DataFrame:
 
 @tool("get_toc_with_summaries")
 def get_toc_with_summaries(c: Corpus, max_entries: int = 300, max_summary_chars: int = 120, skip_subsections: bool = False) -> DataFrame:
-    toc = sections.contents(c.view, skip_subsections, max_entries)
+    toc = sections.contents(c.view, skip_subsections, max_entries).drop("ord")
     s = c.view.select("lang", F.col("ord").alias("_o"), "chunk_id", F.regexp_replace(F.substring("summary", 1, max_summary_chars), "\n", " ").alias("summary"))
     first = stats.top_per(s, ["lang", "chunk_id"], [F.asc("_o")], 1, "_r").drop("_o", "_r")
     return toc.join(first, ["lang", "chunk_id"], "left")

@@ -94,3 +94,18 @@ def test_text_rules(spark):
     assert one.select(text.query_id(F.lit("abc"))).first()[0] == "Q900150"
     assert one.select(text.without_claim_ids(F.lit("As shown (claim_id=C012) here"))).first()[0] == "As shown here"
     assert one.select(text.claim_type(F.lit("grammar/IGT_PATTERN|x"))).first()[0] == "igt_pattern"
+
+
+def test_summary(spark):
+    cs = claims(spark, *[(True, 0.9, "igt_pattern")] * 5, (None, 0.5, "inference"))
+    r = evidence.summary(cs, shown=3).first()
+    assert (r["n"], r["neutral"], r["verdict"]) == (6, 1, "Yes")
+    assert [c["claim_id"] for c in json.loads(r["claims"])] == ["C001", "C002", "C003"]
+
+
+def test_select_universals(spark):
+    u = spark.createDataFrame([("U1", "CASE"), ("U2", "TENSE")], "id string, domain string")
+    ids = lambda **kw: sorted(r["id"] for r in verdicts.select_universals(u, **kw).collect())
+    assert ids(ids=["U2", "U9"]) == ["U2"] and ids(domain="case") == ["U1"] and ids(every=True) == ["U1", "U2"]
+    with pytest.raises(ValueError):
+        verdicts.select_universals(u)
