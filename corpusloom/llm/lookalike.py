@@ -37,7 +37,9 @@ LOOKALIKES = {
     "ɡ": "g", "’": "ʼ", "꞊": "=", "ı": "i",
 }
 _TRANSLATE = str.maketrans(LOOKALIKES)
-_TEXT_LOOKALIKES = "".join(LOOKALIKES)
+#: Letters that are composed of a look-alike and accents (Greek and Cyrillic blocks).
+COMPOSED = frozenset(c for r in (range(0x370, 0x530), range(0x1F00, 0x2000)) for c in map(chr, r) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0] in LOOKALIKES)
+_TEXT_LOOKALIKES = "".join([*LOOKALIKES, *sorted(COMPOSED)])
 #: Characters without any mark of their own.
 INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff]")
 _WIDE = re.compile("[\u3000ﬀ-ﬆ！-￮]")
@@ -58,8 +60,8 @@ def width_folded(s: str) -> str:
 
 
 def to_latin(s: str) -> str:
-    """All look-alikes as Latin letters."""
-    return s.translate(_TRANSLATE)
+    """All look-alikes as Latin letters, also those that carry accents."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(_TRANSLATE))
 
 
 def plain_form(s: str) -> str:
@@ -82,12 +84,12 @@ def candidate(token: str, line_script: str = "LATIN") -> str | None:
     for ch in token:
         s = _script(ch)
         # a letter that looks Latin says less about the token than one that does not
-        if s and not (s in ("CYRILLIC", "GREEK") and ch in LOOKALIKES):
+        if s and not (s in ("CYRILLIC", "GREEK") and (ch in LOOKALIKES or ch in COMPOSED)):
             scripts[s] = scripts.get(s, 0) + 1
     dominant = max(scripts, key=lambda s: (scripts[s], s), default=line_script)
     if dominant not in ("LATIN", "MODIFIER"):
         return None
-    out = unicodedata.normalize("NFC", token.translate(_REPAIR))
+    out = unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(_REPAIR))
     return out if out != token else None
 
 
@@ -110,7 +112,7 @@ def _marked_apostrophes(text: str) -> str:
 
 def candidates(text: str) -> list[str]:
     """For each space-separated token its repaired form, or the token itself."""
-    letters = Counter(s for c, n in Counter(text).items() if c not in LOOKALIKES and (s := _script(c)) for _ in range(n))
+    letters = Counter(s for c, n in Counter(text).items() if c not in LOOKALIKES and c not in COMPOSED and (s := _script(c)) for _ in range(n))
     line = max(letters, key=lambda s: (letters[s], s), default="LATIN")
     return [candidate(t, line) or t.replace(_MARK, "’") for t in _marked_apostrophes(text).split(" ")]
 

@@ -58,6 +58,29 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.filter((F.col("n_ab") >= 5) & lifted).select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
 
 
+def _versions(igt: DataFrame, until) -> DataFrame:
+    """The rows that are the last version of their example among those loaded until then; rows without id stand alone."""
+    key = F.when(F.col("example_id") != "", F.col("example_id")).otherwise(F.concat(F.lit("\u0001"), F.col("ord").cast("string")))
+    seen = igt.filter(F.col("loaded_at") <= until).withColumn("k", key)
+    last = seen.groupBy("lang", "k").agg(F.max(F.struct("loaded_at", "ord")).alias("m")).select(F.col("m.ord").alias("ord"))
+    return igt.join(last, "ord", "left_semi")
+
+
+def p1_current(spark: SparkSession, d: str) -> DataFrame:
+    """Counts over the current version of each example, kept up to date: the versions as of the middle of the loads
+    first, then only what was added, replaced or changed since."""
+    from corpusloom.llm.termcounts import TermCounts
+
+    igt = table(spark, d, "igt").select("ord", "lang", "example_id", "gloss_tags", "loaded_at")
+    lo, hi = igt.agg(F.min("loaded_at"), F.max("loaded_at")).first()
+    if lo is None:
+        return TermCounts(spark).apply(added=igt, terms="gloss_tags").marked().withColumnRenamed("term", "tag")
+    old, new = _versions(igt, F.lit(lo + (hi - lo) / 2)), _versions(igt, F.lit(hi))
+    added, removed = new.join(old.select("ord"), "ord", "left_anti"), old.join(new.select("ord"), "ord", "left_anti")
+    store = TermCounts(spark).apply(added=old, terms="gloss_tags").apply(added=added, removed=removed, terms="gloss_tags")
+    return store.marked().withColumnRenamed("term", "tag")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Tags that are not written as in the list, with the tag of the list they stand for or the empty string."""
     from corpusloom.llm.canonical import canonical_list, map_to_list
@@ -150,7 +173,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(docs, "doc_id", model)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_pairs, p7_found, p8_ids, p9_pack, p9_containers, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_current, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_pairs, p7_found, p8_ids, p9_pack, p9_containers, p10_found, p10_redacted)}
 
 _TAGS = "r AS (SELECT list_distinct(v) AS u, v FROM (SELECT list_filter(gloss_tags, lambda t: t IS NOT NULL AND t <> '') AS v FROM igt) WHERE len(v) > 0), n AS (SELECT count(*) AS n FROM r)"
 _COUNTS = f"{_TAGS}, o AS (SELECT tag, count(*) AS occurrences FROM (SELECT unnest(v) AS tag FROM r) GROUP BY tag), h AS (SELECT tag, count(*) AS records FROM (SELECT unnest(u) AS tag FROM r) GROUP BY tag)"
@@ -176,6 +199,7 @@ _LLR = " + ".join(
 ORACLES: dict[str, str] = {
     "p1_found": f"WITH {_COUNTS} SELECT tag, {_MARK} AS mark FROM h CROSS JOIN n WHERE {_MARK} IS NOT NULL",
     "p1_counts": f"WITH {_COUNTS} SELECT tag, occurrences, records, {_MARK} AS mark FROM o JOIN h USING (tag) CROSS JOIN n",
+    "p1_current": f"""WITH {_COUNTS.replace("FROM igt)", "FROM (SELECT * FROM igt QUALIFY row_number() OVER (PARTITION BY lang, CASE WHEN example_id <> '' THEN example_id ELSE chr(1) || ord END ORDER BY loaded_at DESC, ord DESC) = 1))")} SELECT tag, occurrences, records, {_MARK} AS mark FROM o JOIN h USING (tag) CROSS JOIN n""",
     "p5_found": "SELECT 'chunk' AS tbl, ord FROM chunk WHERE length(text) > 2000 UNION ALL SELECT 'section_node', ord FROM section_node WHERE length(full_text) > 2000",
     "p6_found": f"WITH {_PAIRS} SELECT tag_a, tag_b FROM q WHERE n_ab >= 5 AND n_ab * n_records >= 3 * n_a * n_b",
     "p6_pairs": f"WITH {_PAIRS} SELECT tag_a, tag_b, n_ab, n_a, n_b, n_records, round(n_ab * n_records / (n_a * n_b), 6) AS lift, round(2 * ({_LLR}), 4) AS llr FROM q",

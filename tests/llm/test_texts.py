@@ -30,6 +30,12 @@ def test_lookalikes(spark):
     assert pairs(df) == sorted(want)
 
 
+def test_accented_lookalikes(spark):
+    """ε and о with accents have composed forms of their own."""
+    df = texts(spark, "k\u025b\u0301m\u00f6l", "k\u03b5\u0301m\u043e\u0308l", "k\u03adm\u04e7l", "k\u025bm\u00f6l")
+    assert pairs(df) == [(0, 1), (0, 2), (1, 2)]
+
+
 def test_lookalikes_keep_other_scripts(spark):
     df = texts(spark, "пример без перевода", "text with сор", "text with cop", "о", "o")
     forms = {r["id"]: r["form_text"] for r in lookalike.consistent_forms(df, with_text=True).collect()}
