@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 #: Cells of the count table (4 bytes each when broadcast).
 CELLS = 1 << 18
 #: A word in more sets than this is not a block of its own; every factor of ten beyond asks for one more shared word.
@@ -343,3 +345,46 @@ def expanded(pairs: DataFrame, df: DataFrame, key: str, cols: list[str]) -> Data
     both = pairs.select("a", "b").join(ma, "a", "left").join(mb, "b", "left")
     x, y = F.coalesce("ia", "a"), F.coalesce("ib", "b")
     return both.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """node, comp (the smallest node reachable): connected components by alternating large and small stars.
+
+    Each round joins every node to the smallest node around it, in shuffles over the edges only; the number of rounds
+    grows with the logarithm of the longest chain. Lineage is cut each round; only a count reaches the driver."""
+    edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        """Large: larger neighbours go to the smallest node around u. Small: u and its smaller neighbours do."""
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        j = both.join(low, "u")
+        if large:
+            out = j.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        else:
+            out = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        return out.filter("u <> v").distinct()
+
+    state = None
+    while True:
+        edges = cut(star(star(edges, True), False))
+        # stable once every node hangs on its smallest one: stars over stars change nothing
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    low = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    return low.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def grouped(pairs: DataFrame, df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """One row per row of df: id, rep (smallest key among rows of equal text), grp (smallest rep of its group; rep itself
+    if it is similar to none), links (number of different texts that are similar to its own)."""
+    pairs = cut(pairs.select("a", "b"))
+    rows = classes(df, key, cols)
+    reps = rows.groupBy("ck").agg(F.min("id").alias("rep"))
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
+    links = ends.groupBy("rep").agg(F.count("*").alias("links"))
+    comp = components(pairs).select(F.col("node").alias("rep"), F.col("comp").alias("grp"))
+    known = reps.join(links, "rep", "left").join(comp, "rep", "left")
+    return rows.join(known, "ck").select("id", "rep", F.coalesce("grp", "rep").alias("grp"), F.coalesce("links", F.lit(0)).alias("links"))

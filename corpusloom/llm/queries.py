@@ -124,6 +124,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return expanded(pairs, igt, "ord", P7_COLS).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
 
 
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each example with its class of equal texts, its group of similar ones (60 % of their words, as in p7_found) and
+    the number of different texts it is linked to."""
+    from corpusloom.llm.neardup import grouped, near_duplicates
+
+    igt = table(spark, d, "igt").select("ord", *P7_COLS)
+    pairs = near_duplicates(igt, "ord", P7_COLS, 3, 5)
+    return grouped(pairs, igt, "ord", P7_COLS).select(F.col("id").alias("ord"), "rep", F.col("grp").alias("group_id"), "links")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of each document."""
     from corpusloom.llm.encoding import encode
@@ -173,7 +183,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(docs, "doc_id", model)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_current, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_pairs, p7_found, p8_ids, p9_pack, p9_containers, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_current, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_pairs, p7_found, p7_groups, p8_ids, p9_pack, p9_containers, p10_found, p10_redacted)}
 
 _TAGS = "r AS (SELECT list_distinct(v) AS u, v FROM (SELECT list_filter(gloss_tags, lambda t: t IS NOT NULL AND t <> '') AS v FROM igt) WHERE len(v) > 0), n AS (SELECT count(*) AS n FROM r)"
 _COUNTS = f"{_TAGS}, o AS (SELECT tag, count(*) AS occurrences FROM (SELECT unnest(v) AS tag FROM r) GROUP BY tag), h AS (SELECT tag, count(*) AS records FROM (SELECT unnest(u) AS tag FROM r) GROUP BY tag)"

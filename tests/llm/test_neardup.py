@@ -113,3 +113,26 @@ def test_sketch_is_a_lower_bound():
         hi, lo = neardup.sketch(h, np.array([0, len(a)]))
         d = int(np.bitwise_count(hi[0] ^ hi[1])) + int(np.bitwise_count(lo[0] ^ lo[1]))
         assert d <= len(a ^ b)
+
+
+def test_components_and_groups(spark):
+    rnd = random.Random(13)
+    edges = {tuple(sorted(rnd.sample(range(300), 2))) for _ in range(170)} | {(i, i + 1) for i in range(1000, 1060)}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(sorted(edges), "a long, b long")
+    assert {r["node"]: r["comp"] for r in neardup.components(df).collect()} == {n: root(n) for n in parent}
+    assert neardup.components(df.filter("false")).count() == 0
+
+    rows = [(5, "a b c d e f g h", None), (2, "a b c d e f g h", ""), (3, "a b c d e f g i", ""), (4, "a b c d e f j i", ""), (9, "x y", ""), (10, None, None)]
+    rows = spark.createDataFrame([(i, a, b, 0, "z") for i, a, b in rows], SCHEMA)
+    got = {r["id"]: (r["rep"], r["grp"], r["links"]) for r in neardup.grouped(neardup.near_duplicates(rows, "id", ["a", "b"], 3, 5), rows, "id", ["a", "b"]).collect()}
+    assert got == {2: (2, 2, 2), 5: (2, 2, 2), 3: (3, 2, 2), 4: (4, 2, 2), 9: (9, 9, 0), 10: (10, 10, 0)}
