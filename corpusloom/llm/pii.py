@@ -49,7 +49,7 @@ _EMAIL = re.compile(
     r"|[\w.+%\-]+ (?:AT|at) [\w\-]+(?: (?:DOT|dot) [\w\-]+)+"
 )
 _STRICT_EMAIL = re.compile(r"[\w.+%\-]+@[\w\-]+(?:\.[\w\-]+)+")
-_DISGUISED = re.compile(r"[\(\[\{](?:at|AT|ät)[\)\]\}]| AT | DOT ")
+_DISGUISED = re.compile(r"[\(\[\{](?:at|AT|ät)[\)\]\}]| AT | DOT | dot ")
 _NUMBER = re.compile(r"(?<![\w.,§+(\-])[+(]{0,2}\d[\d \u00a0().\-/]{4,20}\d(?![\w\-]|[.,]\d)")
 _PHONE_FORMATS = re.compile(
     r"\+\d{1,3}[ \u00a0\-]?(?:\(\d{1,4}\)[ \u00a0])?\d[\d \u00a0\-]{4,12}\d|00\d{1,3}[ \u00a0]\d{2,5}[ \u00a0]\d{3,8}(?:[ \u00a0]\d{2,4})?|\(0\d{1,4}\)[ \u00a0]\d{3,4}[ \u00a0]\d{3,4}"
@@ -100,7 +100,8 @@ class Model:
 
 
 def propose(text: str) -> list[tuple[int, int, str]]:
-    out = {(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)}
+    # most texts have no sign of an address
+    out = {(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)} if "@" in text or _DISGUISED.search(text) else set()
     for m in _ADDRESS.finditer(text):
         e = _address_end(text, m)
         out.add((m.start(), e, "address"))
