@@ -14,9 +14,9 @@ pieces cover the whole text, in order; repeated rows give their pieces under the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,24 +29,46 @@ SEGMENT = 16
 CELL = 16
 #: Ranks of boundaries: new paragraph, end of line or sentence, end of clause, white space.
 PARAGRAPH, SENTENCE, CLAUSE, WORD = 4, 3, 2, 1
-_BOUNDARY = re.compile(r"(\n[ \t\r]*\n\s*)|(\n\s*|(?<=[.!?…。！？])[\"'”’)\]]*\s+)|((?<=[,;:])\s+)|(\s+)")
+#: Code points that end a sentence or a clause, that may close a quotation behind it, that end a sentence
+#: without a space behind them.
+_ENDS, _COMMAS, _CLOSERS, _WIDE_ENDS = (np.array([ord(c) for c in x], np.uint32) for x in (".!?…。！？", ",;:", "\"'”’)]»", "。！？"))
+
+
+def _is_space(c: np.ndarray) -> np.ndarray:
+    low = (c == 32) | ((c >= 9) & (c <= 13)) | ((c >= 0x1C) & (c <= 0x1F)) | (c == 0x85) | (c == 0xA0)
+    return low | (c == 0x1680) | ((c >= 0x2000) & (c <= 0x200A)) | (c == 0x2028) | (c == 0x2029) | (c == 0x202F) | (c == 0x205F) | (c == 0x3000)
 
 
 def boundaries(text: str, begin: int, end: int) -> tuple[list[int], list[int]]:
-    """Places within text[begin:end] before which a piece may begin, with their ranks; text holds the halo too."""
-    best: dict[int, tuple[int, int]] = {}
-    for m in _BOUNDARY.finditer(text, max(0, begin - HALO)):
-        at = m.end()
-        if at < begin or at == 0:
-            continue
-        if at >= end:
-            break
-        rank = PARAGRAPH if m[1] else SENTENCE if m[2] is not None else CLAUSE if m[3] else WORD
-        cell = (at - begin) // CELL
-        if cell not in best or rank >= best[cell][1]:
-            best[cell] = (at, rank)
-    places = [best[c] for c in sorted(best)]
-    return [p - begin for p, _ in places], [r for _, r in places]
+    """Places within text[begin:end] before which a piece may begin, with their ranks, counted from begin; text holds
+    the halo too. A piece may begin behind a run of white space; the run's line breaks and the character before it give
+    the rank."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(c):
+        return [], []
+    space = _is_space(c)
+    edge = np.flatnonzero(np.diff(np.r_[False, space, False].astype(np.int8)))
+    start, at = edge[0::2], edge[1::2]
+    lines = np.r_[0, np.cumsum(c == 10)]
+    breaks = lines[at] - lines[start]
+    before = np.where(start > 0, c[np.maximum(start - 1, 0)], 0)
+    inner = np.where(start > 1, c[np.maximum(start - 2, 0)], 0)
+    ends = np.isin(before, _ENDS) | (np.isin(before, _CLOSERS) & np.isin(inner, _ENDS))
+    rank = np.where(breaks > 1, PARAGRAPH, np.where((breaks == 1) | ends, SENTENCE, np.where(np.isin(before, _COMMAS), CLAUSE, WORD)))
+    wide = np.flatnonzero(np.isin(c[:-1], _WIDE_ENDS) & ~space[1:]) + 1
+    if len(wide):
+        at, rank = np.r_[at, wide], np.r_[rank, np.full(len(wide), SENTENCE)]
+        order = np.argsort(at, kind="stable")
+        at, rank = at[order], rank[order]
+    here = (at >= max(begin, 1)) & (at < min(end, len(c)))
+    at, rank = at[here] - begin, rank[here]
+    if not len(at):
+        return [], []
+    # the best of each cell, the last of equals
+    cell = at // CELL
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    best = np.maximum.reduceat(rank.astype(np.int64) << 40 | at, first)
+    return (best & ((1 << 40) - 1)).tolist(), (best >> 40).tolist()
 
 
 def ranges(text: str) -> Iterator[tuple[int, int, list[int], list[int]]]:
@@ -108,29 +130,34 @@ def stitch(parts: list[tuple[int, int, list[int], list[int]]], first: int, whole
 def _detect(keys: list[str]):
     def run(batches):
         for b in batches:
-            rows, no, ln, at, rk = [], [], [], [], []
+            rows, no, ln, at, rk, last = [], [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 for r in ranges(text):
                     rows.append(i)
+                    last.append((len(text) - 1) // RANGE)
                     for x, v in zip((no, ln, at, rk), r):
                         x.append(v)
             i32 = pa.list_(pa.int32())
-            cols = [*(b.column(k).take(pa.array(rows, pa.int64())) for k in keys), pa.array(no, pa.int32()), pa.array(ln, pa.int32()), pa.array(at, i32), pa.array(rk, i32)]
-            yield pa.RecordBatch.from_arrays(cols, [*keys, "no", "len", "at", "rank"])
+            cols = [*(b.column(k).take(pa.array(rows, pa.int64())) for k in keys), pa.array(no, pa.int32()), pa.array([RANGE * x for x in no], pa.int64()), pa.array(ln, pa.int32()), pa.array(last, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(at, i32), pa.array(rk, i32)], [*keys, "no", "off", "len", "last", "at", "rank"])
 
     return run
 
 
-def cut_table(ranges_df: DataFrame, keys: list[str], limit: int, overlap: int) -> DataFrame:
-    """keys, no, begin, end of each piece, from the ranges' boundary tables (keys, no, len, at, rank)."""
+def placed_ranges(ranges_df: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds off (length of the ranges before) and last (number of the last range). Only lengths go through the window;
+    ranges_df is read twice."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy("no")
-    # only the lengths go through the window
     lengths = ranges_df.select(*keys, "no", "len").select(
         *keys, "no", (F.sum("len").over(w) - F.col("len")).alias("off"), F.max("no").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last")
     )
-    placed = ranges_df.join(lengths, [*keys, "no"])
+    return ranges_df.join(lengths, [*keys, "no"])
+
+
+def cut_table(placed: DataFrame, keys: list[str], limit: int, overlap: int) -> DataFrame:
+    """keys, seg, k, begin, end of each piece, from the ranges' boundary tables (keys, no, off, len, last, at, rank)."""
     own = (F.col("no") / SEGMENT).cast("int")
     segs = F.when((F.col("no") % SEGMENT == SEGMENT - 1) & (F.col("no") < F.col("last")), F.array(own, own + 1)).otherwise(F.array(own))
     grouped = (
@@ -154,7 +181,7 @@ def cut_table(ranges_df: DataFrame, keys: list[str], limit: int, overlap: int) -
             cols = [*(b.column(k).take(pa.array(rows, pa.int64())) for k in [*keys, "seg"]), pa.array(no, pa.int32()), pa.array(be, pa.int64()), pa.array(en, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, [*keys, "seg", "k", "begin", "end"])
 
-    types = dict(ranges_df.dtypes)
+    types = dict(placed.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", seg int, k int, begin long, end long"
     return grouped.mapInArrow(run, schema)
 
@@ -163,7 +190,7 @@ def split_offsets(df: DataFrame, keys: list[str], text: str, limit: int = 2000,
     """keys, seg, k, begin, end: pieces by offset, ordered by seg and k."""
     rows = df.select(*keys, F.col(text).alias("text")).filter(F.char_length("text") > (limit if oversized_only else 0))
     types = dict(rows.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", no int, len int, at array<int>, rank array<int>"
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", no int, off long, len int, last int, at array<int>, rank array<int>"
     return cut_table(rows.mapInArrow(_detect(keys), schema), keys, limit, overlap)
 
 
@@ -228,7 +255,7 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = 2000, overla
     from corpusloom.session import cut
 
     tab = cut(todo.mapInPandas(detect, "path string, no int, len int, at array<int>, rank array<int>, bytes array<long>"))
-    cuts = cut_table(tab.drop("bytes"), ["path"], limit, overlap)
+    cuts = cut_table(placed_ranges(tab.drop("bytes"), ["path"]), ["path"], limit, overlap)
     w = Window.partitionBy("path").orderBy("no")
     offs = tab.select("path", "no", "len").withColumn("off", F.sum("len").over(w) - F.col("len"))
     # a piece begins in one range; a byte place at or before it, and how many characters to skip
