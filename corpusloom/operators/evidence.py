@@ -91,6 +91,19 @@ def gaps(claims: DataFrame, has_igt: bool = True) -> DataFrame:
     return g.select("graph_id", F.array_join(names, "; ").alias("gaps"), cover.alias("coverage"), "n_igt", "n_sure")
 
 
+def gates(claims: DataFrame, has_igt: bool = True, least: int = 4) -> DataFrame:
+    """graph_id, ready, ready_igt: whether a conclusion is allowed, with prose (prose, pattern if there are examples,
+    counter-evidence, no open contradiction) and from examples alone (pattern, absence check, counter-evidence, so many
+    claims)."""
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    g = claims.groupBy("graph_id").agg(
+        some(F.col("claim_type") == "grammar_statement").alias("p"), some(F.col("claim_type") == "igt_pattern").alias("i"), some(F.col("claim_type") == "absence_evidence").alias("a"),
+        some(~F.col("supports")).alias("c"), F.count("*").alias("n"),
+    ).join(contradicted(claims), "graph_id")
+    ready = F.col("p") & (F.col("i") | F.lit(not has_igt)) & F.col("c") & (F.col("n_contradictions") == 0)
+    return g.select("graph_id", ready.alias("ready"), (F.col("i") & F.col("a") & F.col("c") & (F.col("n") >= least)).alias("ready_igt"))
+
+
 def summary(claims: DataFrame, shown: int = 200) -> DataFrame:
     """graph_id, verdict, confidence, claims by side (over all) and, as the text a reader gets, a JSON list of the first
     claims in order, texts cut to 200 characters."""

@@ -356,6 +356,12 @@ def bm25_topk(spark, d):
     return retrieval.bm25(_chunk_docs(spark, d), "ord", "text", _BM25_QUERY, 20)
 
 
+@query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ts FROM documents), p AS (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest(ts) AS term FROM d) GROUP BY ALL)
+ SELECT term, count(*) AS df, sum(c)::BIGINT AS tf, round(ln(((SELECT count(*) FROM d) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM p GROUP BY term""")
+def bm25_statistics(spark, d):
+    return retrieval.term_statistics(table(spark, d, "documents"), "doc_id", "text")
+
+
 _DOT = "list_sum(list_transform(list_zip(e.embedding, qv.v), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
 _DENSE = f"""qv AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), dn AS (SELECT e.vec_id AS doc, round({_DOT} / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(qv.v, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9), 6) AS score FROM embeddings e CROSS JOIN qv)"""
 
@@ -561,6 +567,12 @@ def evidence_gaps(spark, d):
     return evidence.gaps(_claims(spark, d))
 
 
+@query(f"""WITH {_CLAIMS}, g AS (SELECT graph_id, bool_or(claim_type = 'grammar_statement') AS p, bool_or(claim_type = 'igt_pattern') AS i, bool_or(claim_type = 'absence_evidence') AS a, coalesce(bool_or(NOT supports), false) AS c, count(*) AS n,
+ count(*) FILTER (WHERE supports AND confidence >= 0.6) * count(*) FILTER (WHERE NOT supports AND confidence >= 0.6) AS x FROM cl GROUP BY graph_id) SELECT graph_id, p AND i AND c AND x = 0 AS ready, i AND a AND c AND n >= 4 AS ready_igt FROM g""")
+def evidence_gates(spark, d):
+    return evidence.gates(_claims(spark, d))
+
+
 @query()
 def evidence_summary(spark, d):
     return evidence.summary(_claims(spark, d))

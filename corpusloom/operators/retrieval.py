@@ -25,6 +25,13 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return t.select("doc", "dl", F.explode("ts").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
 
 
+def term_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """term, df, tf (over all documents), idf."""
+    n = docs.agg(F.count("*").alias("n"))
+    t = postings(docs, key, text).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).crossJoin(F.broadcast(n))
+    return t.select("term", "df", "tf", F.round(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6).alias("idf"))
+
+
 def bm25(docs: DataFrame, key: str, text: str, query: str, k: int = 5) -> DataFrame:
     """rank, doc, score of the k best documents; a term that the query repeats counts again. Scores of zero are dropped
     after the cut at k, ties go to the smaller key."""
