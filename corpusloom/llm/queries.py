@@ -205,11 +205,42 @@ _LLR = " + ".join(
     )
 )
 
+
+
+def _form_sql(x: str) -> str:
+    """The form of a text with every look-alike replaced, whether or not the vocabulary has the result: the relation of
+    equal forms is the same on these tables."""
+    import unicodedata
+
+    from corpusloom.llm.lookalike import COMPOSED, LOOKALIKES
+
+    wide = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFF5F)}
+    one = wide | LOOKALIKES | {chr(c): " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)} | {chr(c): "-" for c in (0x2010, 0x2011, 0x2D7, 0xFE63)}
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+    hidden = "[" + "".join(f"\\x{{{c:x}}}" for c in (0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF)) + "]"
+    out = f"regexp_replace({x}, {q(hidden)}, '', 'g')"
+    for c in sorted(COMPOSED):
+        d = unicodedata.normalize("NFD", c)
+        if len(d) == 2:
+            out = f"replace({out}, {q(c)}, {q(LOOKALIKES[d[0]] + d[1])})"
+    return f"nfc_normalize(translate({out}, {q(''.join(one))}, {q(''.join(one.values()))}))"
+
+
 #: SQL where DuckDB can say the same on whole tables.
 ORACLES: dict[str, str] = {
     "p1_found": f"WITH {_COUNTS} SELECT tag, {_MARK} AS mark FROM h CROSS JOIN n WHERE {_MARK} IS NOT NULL",
     "p1_counts": f"WITH {_COUNTS} SELECT tag, occurrences, records, {_MARK} AS mark FROM o JOIN h USING (tag) CROSS JOIN n",
     "p1_current": f"""WITH {_COUNTS.replace("FROM igt)", "FROM (SELECT * FROM igt QUALIFY row_number() OVER (PARTITION BY lang, CASE WHEN example_id <> '' THEN example_id ELSE chr(1) || ord END ORDER BY loaded_at DESC, ord DESC) = 1))")} SELECT tag, occurrences, records, {_MARK} AS mark FROM o JOIN h USING (tag) CROSS JOIN n""",
+    "p3_found": f"""WITH a AS (SELECT 'igt' AS tbl, ord AS row_id, unnest(range(len(gloss_tags))) AS pos, unnest(gloss_tags) AS v FROM igt UNION ALL SELECT 'tag_profile', profile_id, 0, tag FROM tag_profile),
+ b AS (SELECT * FROM a WHERE v IS NOT NULL AND v <> '' AND v NOT IN (SELECT tag FROM abbrev)),
+ f AS (SELECT v, regexp_replace(regexp_replace(lower({_form_sql("v")}), '^[^a-z0-9]+', ''), '[^a-z0-9]+$', '') AS f FROM (SELECT DISTINCT v FROM b)), k AS (SELECT v, f, regexp_replace(f, '[\\s._:/-]+', '', 'g') AS k FROM f),
+ n AS (SELECT tag, lower(tag) AS w, regexp_replace(lower(tag), '[\\s._:/-]+', '', 'g') AS k, false AS alias, NULL AS long FROM abbrev UNION ALL SELECT tag, lower(meaning), regexp_replace(lower(meaning), '[\\s._:/-]+', '', 'g'), true, tag FROM abbrev),
+ j AS (SELECT k.v, n.tag, CASE WHEN k.k = n.k AND NOT n.alias THEN 1 WHEN k.k = n.k THEN 2 WHEN n.alias AND length(k.k) >= 4 AND starts_with(n.k, k.k) THEN 3 WHEN n.alias AND starts_with(k.f, lower(n.tag) || ' (') AND ends_with(k.f, n.w) THEN 4
+  WHEN length(k.k) >= 4 AND (n.alias OR length(n.k) >= 6) AND damerau_levenshtein(k.k, n.k) <= 1 THEN 5 END AS tier FROM k CROSS JOIN n WHERE k.k <> ''),
+ m AS (SELECT v, CASE WHEN count(DISTINCT tag) = 1 THEN min(tag) ELSE '' END AS canonical FROM (SELECT * FROM j WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY v)) GROUP BY v)
+ SELECT tbl, row_id, pos, coalesce(canonical, '') AS canonical FROM b LEFT JOIN m USING (v)""",
+    "p4_found": f"""WITH t AS (SELECT 'igt.source' AS field, ord, source AS x FROM igt UNION ALL SELECT 'igt.morpheme', ord, morpheme FROM igt UNION ALL SELECT 'chunk.text', ord, text FROM chunk),
+ f AS (SELECT field, ord, x, {_form_sql("x")} AS form FROM t WHERE x <> '') SELECT a.field, a.ord AS ord_a, b.ord AS ord_b FROM f a JOIN f b ON a.field = b.field AND a.form = b.form AND a.ord < b.ord AND a.x <> b.x""",
     "p5_found": "SELECT 'chunk' AS tbl, ord FROM chunk WHERE length(text) > 2000 UNION ALL SELECT 'section_node', ord FROM section_node WHERE length(full_text) > 2000",
     "p6_found": f"WITH {_PAIRS} SELECT tag_a, tag_b FROM q WHERE n_ab >= 5 AND n_ab * n_records >= 3 * n_a * n_b",
     "p6_pairs": f"WITH {_PAIRS} SELECT tag_a, tag_b, n_ab, n_a, n_b, n_records, round(n_ab * n_records / (n_a * n_b), 6) AS lift, round(2 * ({_LLR}), 4) AS llr FROM q",
