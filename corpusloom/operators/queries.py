@@ -681,7 +681,35 @@ def coding_crossjoin(spark, d):
     return n.crossJoin(F.broadcast(table(spark, d, "abbrev").select(F.col("tag").alias("feature")))).withColumn("code", F.lit("?"))
 
 
-@query()
+def _packed_sql() -> str:
+    """Values cut off one by one: separators divide everywhere outside quotes. Lists add brackets to the separators."""
+    from corpusloom.operators.packed import QUOTES, SEPARATORS
+
+    seps = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(SEPARATORS))
+
+    def cases(more: str) -> tuple[str, str]:
+        """(what is taken off the rest, the value in it)"""
+        stop = seps + more
+        taken, value = "", ""
+        for o, c in QUOTES.items():
+            pat = f"^\\x{{{ord(o):x}}}(.*?)\\x{{{ord(c):x}}}(?:$|[{stop}])"
+            same = "replace({}, chr(%d) || chr(%d), chr(%d))" % ((ord(c),) * 3) if o == c else "{}"
+            got = f"regexp_extract(rest, '{pat}', 1, 's')"
+            taken += f" WHEN starts_with(rest, chr({ord(o)})) AND regexp_matches(rest, '{pat}', 's') THEN length({got}) + 2"
+            value += f" WHEN starts_with(rest, chr({ord(o)})) AND regexp_matches(rest, '{pat}', 's') THEN {same.format(got)}"
+        plain = f"regexp_extract(rest, '^[^{stop}]*', 0, 's')"
+        return f"CASE{taken} ELSE length({plain}) END", f"CASE{value} ELSE {plain} END"
+
+    (n0, v0), (n1, v1) = cases(""), cases("\\[\\]")
+    strip = lambda x: f"CASE WHEN lst THEN regexp_replace({x}, '^[{seps}\\[\\]]+', '') ELSE regexp_replace({x}, '^[{seps}]+', '') END"
+    return f"""WITH RECURSIVE t AS (SELECT raw_id, unnest(['morpheme', 'gloss', 'gloss_tags']) AS field, unnest([morpheme, gloss, gloss_tags]) AS txt FROM igt_raw),
+ u AS (SELECT raw_id, field, txt, starts_with(ltrim(txt), '[') AS lst FROM t WHERE txt <> ''),
+ r AS (SELECT raw_id, field, lst, 0 AS step, NULL::VARCHAR AS val, {strip('txt')} AS rest FROM u UNION ALL
+  SELECT raw_id, field, lst, step + 1, val, {strip('substr(rest, n + 1)')} FROM (SELECT raw_id, field, lst, step, rest, CASE WHEN lst THEN {n1} ELSE {n0} END AS n, CASE WHEN lst THEN {v1} ELSE {v0} END AS val FROM r WHERE rest <> ''))
+ SELECT raw_id, field, row_number() OVER (PARTITION BY raw_id, field ORDER BY step) - 1 AS pos, val FROM r WHERE val <> ''"""
+
+
+@query(_packed_sql())
 def p2_found(spark, d):
     """The values of the packed fields of igt_raw, one per row."""
     from corpusloom.operators.packed import split_packed

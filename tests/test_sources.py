@@ -41,7 +41,7 @@ def test_lists(spark, tmp_path):
     r = readers.abbreviations(spark, str(p)).orderBy("ord").collect()
     assert [(x["tag"], x["meaning"]) for x in r] == [("PST", "past tense"), ("1, 2, 3", "persons")]
     u = tmp_path / "u.csv"
-    u.write_text("﻿id,statement,antecedent,consequent,logic,domain,source\nU1,\"a, \"\"b\"\"\",x,y,Absolute,,z\n,skip,,,,,\nU2,s,,,,D,\n", encoding="utf-8")
+    u.write_text("\ufeffid,statement,antecedent,consequent,logic,domain,source\nU1,\"a, \"\"b\"\"\",x,y,Absolute,,z\n,skip,,,,,\nU2,s,,,,D,\n", encoding="utf-8")
     r = readers.universals(spark, str(u)).orderBy("id").collect()
     assert [(x["id"], x["statement"], x["logic"], x["domain"]) for x in r] == [("U1", 'a, "b"', "absolute", "UNKNOWN"), ("U2", "s", "implication", "D")]
     c = tmp_path / "c.json"
