@@ -427,15 +427,33 @@ def xref_extract(spark, d):
     return sections.assemble(_chunks(spark, d)).select("lang", "section_id", "first", F.explode("outgoing_refs").alias("ref"))
 
 
-@query(f"""WITH {_SECTION}, {_REFS}, lb AS (SELECT lang, label, arg_max(section_id, first) AS last_id, min(first) AS f, arg_min(section_id, first) AS f_id FROM sn WHERE label <> '' GROUP BY lang, label),
- nr AS (SELECT a.lang, a.ref, max(CASE WHEN lb.label = a.ref THEN last_id END) AS exact, arg_min(f_id, f) AS near FROM (SELECT DISTINCT lang, ref FROM rf) a JOIN lb ON lb.lang = a.lang AND contains(lb.label, a.ref) GROUP BY a.lang, a.ref)
+_LINKS = f"""lb AS (SELECT lang, label, arg_max(section_id, first) AS last_id, min(first) AS f, arg_min(section_id, first) AS f_id FROM sn WHERE label <> '' GROUP BY lang, label),
+ nr AS (SELECT a.lang, a.ref, max(CASE WHEN lb.label = a.ref THEN last_id END) AS exact, arg_min(f_id, f) AS near FROM (SELECT DISTINCT lang, ref FROM rf) a JOIN lb ON lb.lang = a.lang AND contains(lb.label, a.ref) GROUP BY a.lang, a.ref)"""
+
+
+@query(f"""WITH {_SECTION}, {_REFS}, {_LINKS}
  SELECT rf.lang, rf.ref, rf.section_id AS src, coalesce(exact, near) AS dst FROM rf JOIN nr ON nr.lang = rf.lang AND nr.ref = rf.ref""")
 def xref_resolved(spark, d):
     return sections.resolved_refs(sections.assemble(_chunks(spark, d)))
 
 
-@query()
+def _hits(col: str) -> str:
+    return "(" + " + ".join(f"contains({col}, '{w}')::INT" for w in ("tense", "and", "aspect")) + ")"
+
+
+@query(f"""WITH {_SECTION}, {_REFS}, {_LINKS}, e AS (SELECT DISTINCT rf.lang, rf.section_id AS src, coalesce(exact, near) AS dst FROM rf JOIN nr ON nr.lang = rf.lang AND nr.ref = rf.ref),
+ s AS (SELECT lang, section_id, first, round({_hits('lower(concat_ws(chr(32), chapter, section, subsection, subsubsection))')} + 0.4 * {_hits('lower(full_text)')} + CASE WHEN contains(lower(section), 'tense and aspect') OR contains(lower(subsection), 'tense and aspect') OR contains(lower(subsubsection), 'tense and aspect') THEN 5 ELSE 0 END, 1) AS score FROM sn),
+ h0 AS (SELECT lang, section_id AS id FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, first) <= 3),
+ h1 AS (SELECT DISTINCT e.lang, dst AS id FROM h0 JOIN e ON e.lang = h0.lang AND e.src = h0.id WHERE (e.lang, dst) NOT IN (SELECT (lang, id) FROM h0)),
+ h2 AS (SELECT DISTINCT e.lang, dst AS id FROM h1 JOIN e ON e.lang = h1.lang AND e.src = h1.id WHERE (e.lang, dst) NOT IN (SELECT (lang, id) FROM h0) AND (e.lang, dst) NOT IN (SELECT (lang, id) FROM h1))
+ SELECT lang, id, 0 AS hop FROM h0 UNION ALL SELECT lang, id, 1 FROM h1 UNION ALL SELECT lang, id, 2 FROM h2""")
 def xref_2hop(spark, d):
+    s = sections.assemble(_chunks(spark, d)).withColumn("key_terms", F.array().cast("array<string>"))
+    return sections.follow_refs(s, "tense and aspect")
+
+
+@query()
+def xref_2hop_terms(spark, d):
     return sections.follow_refs(sections.with_key_terms(sections.assemble(_chunks(spark, d))), "tense and aspect")
 
 
