@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,14 +238,14 @@ def learn(column: DataFrame, rounds: int = ROUNDS) -> SplitModel:
     m = SplitModel()
     for _ in range(rounds):
         got = texts.mapInArrow(_expect(column.sparkSession.sparkContext.broadcast(m)), "cell int, kind string, yes double, no double")
-        rows = got.groupBy("cell", "kind").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toArrow().to_pylist()
+        rows = got.groupBy("cell", "kind").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toArrow()
         m = SplitModel()
-        for r in rows:
-            if r["kind"] is None:
-                m.counts[r["cell"]] = r["yes"]
-            else:
-                # pseudo counts: a separator divides unless the column says otherwise
-                m.divides[r["kind"]] = (r["yes"] + 9.5) / (r["yes"] + r["no"] + 10)
+        of_runs = rows.filter(pc.is_valid(rows["kind"]))
+        of_cells = rows.filter(pc.is_null(rows["kind"]))
+        m.counts[of_cells["cell"].to_numpy()] = of_cells["yes"].to_numpy()
+        for r in of_runs.to_pylist():
+            # pseudo counts: a separator divides unless the column says otherwise
+            m.divides[r["kind"]] = (r["yes"] + 9.5) / (r["yes"] + r["no"] + 10)
         m.total = float(m.counts[:CELLS].sum())
     return m
 
