@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.constants import CLAIM_WEIGHTS, CONTRADICTION_FROM, OTHER_WEIGHT
-from corpusloom.operators.stats import top_per
+from corpusloom.operators.stats import ordinal, top_per
 
 
 def claim_ids(claims: DataFrame) -> DataFrame:
@@ -104,14 +104,29 @@ def gates(claims: DataFrame, has_igt: bool = True, least: int = 4) -> DataFrame:
     return g.select("graph_id", ready.alias("ready"), (F.col("i") & F.col("a") & F.col("c") & (F.col("n") >= least)).alias("ready_igt"))
 
 
-def summary(claims: DataFrame, shown: int = 200) -> DataFrame:
-    """graph_id, verdict, confidence, claims by side (over all) and, as the text a reader gets, a JSON list of the first
-    claims in order, texts cut to 200 characters."""
+def figures(claims: DataFrame) -> DataFrame:
+    """graph_id, verdict, confidence, claims by side and n, all over every claim."""
+    n = claims.groupBy("graph_id").agg(F.count("*").alias("n"), F.count_if(F.col("supports").isNull()).alias("neutral"))
+    return confidence(claims).join(n, "graph_id")
+
+
+def listed(claims: DataFrame) -> DataFrame:
+    """graph_id, seq, claim_id, claim: one row for every claim, so that no row grows with its graph; claim is JSON with
+    the whole text. claim_id numbers the claims of a graph in the order of seq (an integer)."""
+    c = ordinal(claims, "graph_id", "seq", "r").withColumn("claim_id", F.format_string("C%03d", "r"))
+    one = F.struct(
+        F.col("claim_id").alias("id"), F.col("claim_type").alias("type"), "text", "source", F.round("confidence", 3).alias("confidence"), "supports", "igt_examples",
+    )
+    return c.select("graph_id", "seq", "claim_id", F.to_json(one, {"ignoreNullFields": "false"}).alias("claim"))
+
+
+def summary(claims: DataFrame, shown: int) -> DataFrame:
+    """figures and, as the text a reader gets, a JSON list of the first so many claims in order, texts cut to 200
+    characters; listed has every claim."""
     one = F.struct("seq", "claim_id", "claim_type", "confidence", "supports", F.substring("text", 1, 200).alias("text"), "source")
     first = top_per(claims, ["graph_id"], [F.asc("seq")], shown, "r").withColumn("claim_id", F.format_string("C%03d", "r"))
     told = first.groupBy("graph_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("claims"))
-    n = claims.groupBy("graph_id").agg(F.count("*").alias("n"), F.count_if(F.col("supports").isNull()).alias("neutral"))
-    return confidence(claims).join(n, "graph_id").join(told, "graph_id")
+    return figures(claims).join(told, "graph_id")
 
 
 def example_notes(claims: DataFrame) -> DataFrame:

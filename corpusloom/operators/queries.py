@@ -593,7 +593,8 @@ def evidence_gates(spark, d):
 
 @query()
 def evidence_summary(spark, d):
-    return evidence.summary(_claims(spark, d))
+    c = _claims(spark, d)
+    return evidence.listed(c).join(evidence.figures(c), "graph_id")
 
 
 @query(f"""WITH {_CLAIMS} SELECT graph_id, example_id, substr(text, 1, 120) AS note, source, claim_type, seq FROM cl QUALIFY row_number() OVER (PARTITION BY graph_id, example_id ORDER BY confidence DESC, seq) = 1""")

@@ -103,6 +103,24 @@ def test_summary(spark):
     assert [c["claim_id"] for c in json.loads(r["claims"])] == ["C001", "C002", "C003"]
 
 
+def test_every_claim_is_listed(spark):
+    rows = [(g, i * 700, "inference", f"{i} " + "x" * 300, "s", 0.1234, None if i % 2 else False, ["ex:1"]) for g, n in (("g", 450), ("h", 1)) for i in range(n)]
+    got = evidence.listed(spark.createDataFrame(rows, CLAIM).repartition(5)).orderBy("graph_id", "seq").collect()
+    assert [(r["graph_id"], r["claim_id"]) for r in got] == [("g", f"C{i + 1:03d}") for i in range(450)] + [("h", "C001")]
+    want = [{"id": f"C{i + 1:03d}", "type": r[2], "text": r[3], "source": "s", "confidence": 0.123, "supports": r[6], "igt_examples": ["ex:1"]} for i, r in enumerate(rows[:450])]
+    assert [json.loads(r["claim"]) for r in got[:450]] == want
+
+
+def test_summary_query_gives_every_claim(spark, tmp_path):
+    from corpusloom.operators.queries import QUERIES
+
+    e = spark.range(450).selectExpr("id AS event_id", "1L AS user_id", "'click' AS event_type", "0.5D AS value", "repeat('x', 300) AS props")
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["evidence_summary"](spark, str(tmp_path)).collect()
+    assert len(got) == 450 and {(r["n"], r["ns"], r["nc"], r["neutral"]) for r in got} == {(450, 150, 150, 150)}
+    assert {len(json.loads(r["claim"])["text"]) for r in got} == {300}
+
+
 def test_select_universals(spark):
     u = spark.createDataFrame([("U1", "CASE"), ("U2", "TENSE")], "id string, domain string")
     ids = lambda **kw: sorted(r["id"] for r in verdicts.select_universals(u, **kw).collect())
