@@ -495,6 +495,13 @@ def context_window(spark, d):
     return w.withColumn("target", plain("target")).withColumn("chunk_id", plain("chunk_id"))
 
 
+@query(f"""WITH {_CH}, n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY ord) AS n FROM ch)
+ SELECT t.lang, t.chunk_id AS target, t.ord AS tord, n.n - t.n AS "offset", n.chunk_id, substr(n.text, 1, 600) AS text FROM n t JOIN n ON n.lang = t.lang AND n.n BETWEEN t.n - 2 AND t.n + 2""")
+def context_window_all(spark, d):
+    # context_window's SQL takes labels of sec:1. only; this one takes every chunk
+    return tools.context_window(_chunks(spark, d))
+
+
 @query(f"""WITH {_CH}, f AS (SELECT lang, chapter, section, subsection, subsubsection, min(ord) AS ord FROM ch GROUP BY ALL)
  SELECT f.lang, row_number() OVER (PARTITION BY f.lang ORDER BY f.ord) AS rank, c.chunk_id, f.chapter, f.section, CASE WHEN f.subsubsection <> '' THEN 4 WHEN f.subsection <> '' THEN 3 WHEN f.section <> '' THEN 2 ELSE 1 END AS level, c.label FROM f JOIN ch c ON c.ord = f.ord QUALIFY rank <= 300""")
 def toc_first_chunk(spark, d):

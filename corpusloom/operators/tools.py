@@ -221,13 +221,15 @@ def summaries(ids: DataFrame, chunks: DataFrame, k: int = 12) -> DataFrame:
     return r.filter("summary <> ''").select("lang", "rank", "id", "summary")
 
 
-def context_window(chunks: DataFrame, targets: DataFrame, window: int = 2) -> DataFrame:
-    """Chunks within window places of each target (lang, chunk_id), in document order; text cut to 600 characters.
+def context_window(chunks: DataFrame, targets: DataFrame | None = None, window: int = 2) -> DataFrame:
+    """Chunks within window places of each target (lang, chunk_id; every chunk without targets), in document order; text
+    cut to 600 characters.
 
     Neighbours share a bucket of places or stand in the next one, so the band join is an equi-join on buckets."""
     size = 2 * window + 1
     c = ordinal(chunks, "lang", "ord", "n")
-    t = c.join(targets.select("lang", "chunk_id"), ["lang", "chunk_id"], "left_semi").select("lang", F.col("chunk_id").alias("target"), F.col("n").alias("tn"), "ord")
+    hit = c if targets is None else c.join(targets.select("lang", "chunk_id"), ["lang", "chunk_id"], "left_semi")
+    t = hit.select("lang", F.col("chunk_id").alias("target"), F.col("n").alias("tn"), "ord")
     t = t.select("lang", "target", "tn", F.col("ord").alias("tord"), F.explode(F.array_distinct(F.array(F.floor((F.col("tn") - window) / size), F.floor((F.col("tn") + window) / size)))).alias("bucket"))
     both = t.join(c.withColumn("bucket", F.floor(F.col("n") / size)), ["lang", "bucket"]).filter(F.col("n").between(F.col("tn") - window, F.col("tn") + window))
     return both.select("lang", "target", "tord", (F.col("n") - F.col("tn")).alias("offset"), "chunk_id", F.substring(F.coalesce("text", F.lit("")), 1, 600).alias("text"))

@@ -83,6 +83,21 @@ def test_sections(spark):
     assert any("[A / ] The Serial Verb is productive" in r["claim"] for r in claims)
 
 
+def test_every_chunk_has_a_window(spark, tmp_path):
+    from corpusloom.operators.queries import QUERIES
+
+    names = "ord bigint, lang string, chunk_id string, text string, chapter string, section string, subsection string, subsubsection string, label string, summary string"
+    # ids loaded twice, labels of all kinds and none
+    rows = [(o, "ab"[o % 3 > 0], f"c{o % 17}", f"{o} " + "x" * 700, "", "", "", "", [None, "", "sec:1.1", "sec:2"][o % 4], "") for o in range(40)]
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "chunk.parquet"))
+    got = sorted((r["tord"], r["lang"], r["target"], r["offset"], r["chunk_id"], r["text"]) for r in QUERIES["context_window_all"](spark, str(tmp_path)).collect())
+    want = []
+    for lang in "ab":
+        own = [r for r in rows if r[1] == lang]
+        want += [(t[0], lang, t[2], j - i, n[2], n[3][:600]) for i, t in enumerate(own) for j, n in enumerate(own) if abs(i - j) <= 2]
+    assert got == sorted(want)
+
+
 def test_annotate(spark):
     ab = spark.createDataFrame([(0, "PST", "past"), (1, "NEG", "negation"), (2, "AGR", "agreement")], "ord bigint, tag string, meaning string")
     df = spark.createDataFrame([("PST: 140, NEG (x), 3SG.AGR",), (None,), ("",)], "t string")
