@@ -2,11 +2,14 @@
 
 Width variants, composed and decomposed accents, invisible characters, kinds of spaces and hyphens are folded
 outright. Look-alike letters are repaired script by script: a token's dominant script is that of most of its letters
-(that of the line, if the token has none of it); letters of another script that look like one of the dominant script
-are replaced, but only in tokens of mixed script and only if the result occurs in the vocabulary of the corpus (or
+(that of the line, if the token has none of it). A token with letters of Cyrillic or Greek alone, all of whose Latin
+letters look like letters of that script, is of that script; so is one wholly of look-alikes in a line of that script.
+Letters of another script that look like one of the dominant script are replaced, but only in tokens of mixed script and only if the result occurs in the vocabulary of the corpus (or
 results from repairs in two rows or more). The vocabulary is never collected: the candidates set bits in a bitmap of
 fixed size, all tokens of the corpus are tested against it, and the few that hit are joined exactly.
 
+Latin I in a Cyrillic word is taken for І, never for the palochka.
+
 Defined results: null and empty texts give null and empty forms and are in no pair; equal texts are no pair; texts
 that differ in case, accents or visible marks keep different forms.
 """
@@ -40,6 +43,21 @@ _TRANSLATE = str.maketrans(LOOKALIKES)
 #: Letters that are composed of a look-alike and accents (Greek and Cyrillic blocks).
 COMPOSED = frozenset(c for r in (range(0x370, 0x530), range(0x1F00, 0x2000)) for c in map(chr, r) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0] in LOOKALIKES)
 _TEXT_LOOKALIKES = "".join([*LOOKALIKES, *sorted(COMPOSED)])
+#: Script -> letters of the other scripts that look like one of it.
+_OF = {k: unicodedata.name(k).split(" ", 1)[0] for k in LOOKALIKES}
+BACK: dict[str, dict[str, str]] = {}
+for _s in ("CYRILLIC", "GREEK"):
+    _b: dict[str, str] = {}
+    for _k, _v in LOOKALIKES.items():
+        if _OF[_k] == _s:
+            _b.setdefault(_v, _k)
+    BACK[_s] = _b | {k: _b[v] for k, v in LOOKALIKES.items() if _OF[k] in ("CYRILLIC", "GREEK") and _OF[k] != _s and v in _b}
+_BACK_TABLES = {s: str.maketrans(b) for s, b in BACK.items()}
+#: Greek letters that phonetic (Latin) spellings hold too.
+PHONETIC = "βθλφδ"
+#: Letters that only Cyrillic or only Greek has.
+_FOREIGN = re.compile("[" + "".join(c for c in map(chr, (*range(0x370, 0x530), *range(0x1F00, 0x2000))) if c.isalpha() and c not in LOOKALIKES and c not in COMPOSED and c not in PHONETIC) + "]")
+_LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u1e00-\u1eff]")
 #: Characters without any mark of their own.
 INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff]")
 _WIDE = re.compile("[\u3000ﬀ-ﬆ！-￮]")
@@ -76,9 +94,32 @@ def _script(ch: str) -> str:
     return unicodedata.name(ch, "").split(" ", 1)[0] if ch.isalpha() else ""
 
 
+def _whole_script(token: str, line_script: str) -> str:
+    """Cyrillic or Greek, if the token holds letters of that script alone (or stands in a line of it) and all its other
+    letters look like letters of it."""
+    letters = [ch for ch in unicodedata.normalize("NFD", token) if ch.isalpha()]
+    own = {_script(m[0]) for m in _FOREIGN.finditer(token)}
+    for s, back in BACK.items():
+        if (s in own or (s == line_script and not own)) and all(ch in back or _script(ch) == s for ch in letters):
+            return s
+    return ""
+
+
+def _back(token: str, script: str) -> str | None:
+    """The token with all letters that look like letters of the script replaced by these."""
+    token = token.replace(_MARK, "’")
+    out = unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(_BACK_TABLES[script]))
+    return out if out != token else None
+
+
 def candidate(token: str, line_script: str = "LATIN") -> str | None:
     """The token with its look-alikes replaced; None if nothing is to be repaired."""
-    if not _SUSPECT.search(token):
+    foreign = _FOREIGN.search(token)
+    if foreign or line_script in BACK:
+        whole = _whole_script(token, line_script)
+        if whole:
+            return _back(token, whole)
+    if not foreign and not _SUSPECT.search(token):
         return None
     scripts: dict[str, int] = {}
     for ch in token:
@@ -87,6 +128,8 @@ def candidate(token: str, line_script: str = "LATIN") -> str | None:
         if s and not (s in ("CYRILLIC", "GREEK") and (ch in LOOKALIKES or ch in COMPOSED)):
             scripts[s] = scripts.get(s, 0) + 1
     dominant = max(scripts, key=lambda s: (scripts[s], s), default=line_script)
+    if dominant in BACK and foreign:
+        return _back(token, dominant)
     if dominant not in ("LATIN", "MODIFIER"):
         return None
     out = unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(_REPAIR))
@@ -114,12 +157,14 @@ def candidates(text: str) -> list[str]:
     """For each space-separated token its repaired form, or the token itself."""
     letters = Counter(s for c, n in Counter(text).items() if c not in LOOKALIKES and c not in COMPOSED and (s := _script(c)) for _ in range(n))
     line = max(letters, key=lambda s: (letters[s], s), default="LATIN")
+    if line in BACK and not _FOREIGN.search(text):
+        line = ""  # phonetic letters don't make a line Greek
     return [candidate(t, line) or t.replace(_MARK, "’") for t in _marked_apostrophes(text).split(" ")]
 
 
 def asked(text: str) -> bool:
     """Whether letters may have to be replaced."""
-    return _ASKED.search(text) is not None or ("’" in text and text.count("’") > text.count("‘"))
+    return _ASKED.search(text) is not None or _FOREIGN.search(text) is not None or ("’" in text and text.count("’") > text.count("‘"))
 
 
 def _own_form(text: str) -> str:
@@ -223,7 +268,7 @@ def _hits(bitmap):
                     _, first = np.unique(h[hit], return_index=True)
                     found.update(raw[begin[k] : end[k]].tobytes().decode("utf-8", "surrogatepass") for k in hit[first])
                     texts, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in found if not _SUSPECT.search(w)], pa.string())], ["cand"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in found if not _SUSPECT.search(w) or not _LATIN.search(w)], pa.string())], ["cand"])
 
     return run
 

@@ -43,6 +43,22 @@ def test_lookalikes_keep_other_scripts(spark):
     assert pairs(texts(spark)) == [] and pairs(texts(spark, None, "", " ")) == []
 
 
+def test_lookalikes_in_cyrillic_and_greek(spark):
+    city, greek = "Москва", "τόπος"
+    disguised = [f"над Mocквa б", f"над {city[0]}o{city[2:]} б"]
+    rows = [f"над {city} б", *disguised, f"near {city} now", "near Мoсквa now", greek, "τóπoς", "кво", "квo"]
+    df = texts(spark, *rows)
+    forms = {r["id"]: r["form_text"] for r in lookalike.consistent_forms(df, with_text=True).collect()}
+    assert forms == dict(enumerate([rows[0]] * 3 + [rows[3]] * 2 + [rows[5]] * 2 + [rows[7]] * 2))
+    assert pairs(df) == [(0, 1), (0, 2), (1, 2), (3, 4), (5, 6), (7, 8)]
+
+
+def test_phonetic_greek_stays_latin(spark):
+    rows = ["βoβ oθo", "x βoβ oθo", "βоβ oθo"]
+    assert [lookalike.candidates(t)[0] for t in rows[:2]] == ["βoβ", "x"]
+    assert lookalike.consistent_forms(texts(spark, *rows[:2]), with_text=True).filter("form_text not in ('βoβ oθo', 'x βoβ oθo')").count() == 0
+
+
 def test_quotes_stay(spark):
     df = texts(spark, "the ‘young aunt’ said mɔ’i", "the ‘young aunt’ said mɔʼi", "the ‘yоung aunt’ said mɔʼi")
     assert pairs(df) == [(0, 1), (0, 2), (1, 2)]
