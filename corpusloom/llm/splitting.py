@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 RANGE, HALO = 1 << 16, 64
 #: Ranges that are stitched as one segment.
 SEGMENT = 16
-#: Of each cell of so many characters only the best boundaries are kept.
-CELL = 16
 #: Ranks of boundaries: new paragraph, end of line or sentence, end of clause, white space.
 PARAGRAPH, SENTENCE, CLAUSE, WORD = 4, 3, 2, 1
 #: Code points that end a sentence or a clause, that may close a quotation behind it, that end a sentence
@@ -62,13 +60,7 @@ def boundaries(text: str, begin: int, end: int) -> tuple[list[int], list[int]]:
         at, rank = at[order], rank[order]
     here = (at >= max(begin, 1)) & (at < min(end, len(c)))
     at, rank = at[here] - begin, rank[here]
-    if not len(at):
-        return [], []
-    # the best of each cell, the last of equals
-    cell = at // CELL
-    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    best = np.maximum.reduceat(rank.astype(np.int64) << 40 | at, first)
-    return (best & ((1 << 40) - 1)).tolist(), (best >> 40).tolist()
+    return at.tolist(), rank.tolist()
 
 
 def ranges(text: str) -> Iterator[tuple[int, int, list[int], list[int]]]:

@@ -73,6 +73,19 @@ def _check_pieces(text, ps, limit, overlap):
     assert all(0 < e - b <= limit for b, e in ps)
 
 
+def test_overlap_is_the_nearest_boundary(spark):
+    """Every word break counts, also those beside a better boundary."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 8)))
+    text = "".join(word() + rnd.choice([" "] * 9 + ["\n\n", ". ", ", "]) for _ in range(20_000))
+    starts = [i for i in range(1, len(text)) if text[i - 1].isspace() and not text[i].isspace()]
+    df = spark.createDataFrame([(0, text)], "id long, text string")
+    ps = sorted((r["begin"], r["end"]) for r in splitting.split_texts(df, ["id"], "text").collect())
+    _check_pieces(text, ps, 2000, 200)
+    for (b, e), (b2, _) in zip(ps, ps[1:]):
+        assert b2 == min((p for p in starts if b < p < e), key=lambda p: (abs(p - (e - 200)), p))
+
+
 def test_split_texts(spark):
     rnd = random.Random(4)
     para = lambda: " ".join("".join(rnd.choice("abc dé.") for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(1, 200)))
