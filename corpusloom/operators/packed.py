@@ -6,6 +6,8 @@ the whole column learns how frequent values are and how often each kind of run d
 of all readings takes the likeliest. Value frequencies are kept in a count-min sketch of fixed size, so the model that
 is broadcast doesn't grow with the data.
 
+A value may hold any number of separators; readings are left out only if their share would be under a millionth.
+
 Defined results: null and empty fields give no rows; empty values are dropped and take no position; a quote that opens
 at the start of a value but never closes before a separator is an ordinary character; nested lists are read as one;
 an unquoted null in a list is empty; repeated rows give their values under their own key; a column without any
@@ -29,8 +31,11 @@ SEPARATORS = frozenset(" \t\r\n\x0b\x0c\u00a0\u2002\u2003\u2009\u202f\u3000;,|/
 QUOTES = {'"': '"', "'": "'", "“": "”", "„": "”", "‘": "’", "«": "»", "「": "」"}
 #: Rows and cells per row of the sketch.
 DEPTH, CELLS = 3, 1 << 19
-#: Runs that an unquoted value may contain, at most; rounds of EM.
-JOINS, ROUNDS = 3, 3
+#: Rounds of EM; share below which a reading counts for nothing, and the cost that this is.
+ROUNDS, LEAST = 3, 1e-6
+_FAR = -math.log(LEAST)
+#: Marks, among the kinds of runs, the number of runs in a joined value.
+_LONGEST = "\0"
 _SPACE = frozenset(" \t\r\n\x0b\x0c\u00a0\u2002\u2003\u2009\u202f\u3000")
 
 
@@ -102,13 +107,15 @@ def cells(value: str) -> tuple[int, ...]:
 
 @dataclass
 class SplitModel:
-    """Value frequencies by cell, their total, chance that a run of a kind divides, cost of an unseen character."""
+    """Value frequencies by cell, their total, chance that a run of a kind divides, cost of an unseen character, runs in
+    the longest joined value that was expected."""
 
     counts: np.ndarray = field(default_factory=lambda: np.zeros(DEPTH * CELLS, np.float32))
     total: float = 0.0
     divides: dict[str, float] = field(default_factory=dict)
     letters: float = math.log(30)
     end: float = math.log(6)
+    longest: int = 0
 
     def cost(self, value: str) -> float:
         """Description length: letter by letter for unseen values; for others that of their frequency, and their
@@ -136,17 +143,27 @@ def _stretches(atoms: list[tuple[str, bool, str]]):
 
 
 def _arcs(atoms, m: SplitModel):
-    """Arcs (i, j, value, cost) of the lattice of a stretch."""
+    """Arcs (i, j, value, cost) of the lattice of a stretch. An unseen value of several atoms costs at least the sum of
+    its gaps more than its atoms by themselves; it is left out, and all longer ones, when that makes its share less
+    than LEAST. No value with more runs than the longest one is a seen one."""
     n = len(atoms)
     costs = [m.runs(a[2]) if i + 1 < n else (0.0, 0.0) for i, a in enumerate(atoms)]
+    gaps = [m.letters * len(a[2]) + keep - m.end - cut for a, (cut, keep) in zip(atoms[:-1], costs)]
+    # what longer values may win back
+    back = [0.0] * n
+    for i in range(n - 2, -1, -1):
+        back[i] = back[i + 1] + min(0.0, gaps[i])
     out = []
     for i in range(n):
-        value, kept = "", 0.0
-        for j in range(i, min(n, i + JOINS + 1)):
+        value, kept, more = "", 0.0, 0.0
+        for j in range(i, n):
+            if j - i > m.longest and more + back[j] > _FAR:
+                break
             value += atoms[j][0]
             out.append((i, j + 1, value, m.cost(value) + kept + costs[j][0]))
             value += atoms[j][2]
             kept += costs[j][1]
+            more += gaps[j] if j + 1 < n else 0.0
     return out
 
 
@@ -185,16 +202,18 @@ def expected(text: str, m: SplitModel, values: dict[str, float], runs: dict[str,
             fwd[j] = float(np.logaddexp(fwd[j], fwd[i] - c))
         for i, j, _, c in reversed(arcs):
             bwd[i] = float(np.logaddexp(bwd[i], bwd[j] - c))
-        cuts = [0.0] * (n + 1)
+        cuts, longest = [0.0] * (n + 1), 0
         for i, j, v, c in arcs:
             p = math.exp(min(0.0, fwd[i] - c + bwd[j] - fwd[n]))
-            if p > 1e-6:
+            if p > LEAST:
                 values[v] = values.get(v, 0.0) + p
                 cuts[j] += p
+                longest = max(longest, j - i - 1)
         for j in range(1, n):
             r = runs.setdefault(run_kind(part[j - 1][2]), [0.0, 0.0])
             r[0] += min(1.0, cuts[j])
             r[1] += max(0.0, 1.0 - cuts[j])
+        runs.setdefault(f"{_LONGEST}{longest}", [0.0, 0.0])
 
 
 def _pour(values: dict[str, float], acc: np.ndarray) -> None:
@@ -244,6 +263,9 @@ def learn(column: DataFrame, rounds: int = ROUNDS) -> SplitModel:
         of_cells = rows.filter(pc.is_null(rows["kind"]))
         m.counts[of_cells["cell"].to_numpy()] = of_cells["yes"].to_numpy()
         for r in of_runs.to_pylist():
+            if r["kind"].startswith(_LONGEST):
+                m.longest = max(m.longest, int(r["kind"][1:]))
+                continue
             # pseudo counts: a separator divides unless the column says otherwise
             m.divides[r["kind"]] = (r["yes"] + 9.5) / (r["yes"] + r["no"] + 10)
         m.total = float(m.counts[:CELLS].sum())

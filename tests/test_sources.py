@@ -114,6 +114,21 @@ def test_packed_reading():
     assert segment(None, SplitModel()) == []
 
 
+def test_packed_values_of_many_words():
+    from corpusloom.operators.packed import SplitModel, cells, expected, segment
+
+    text = "one of the very old houses"
+    assert segment(text, SplitModel(divides={" ": 0.02})) == [text]
+    # seen often as a whole, its words never
+    m = SplitModel(divides={" ": 0.6}, total=100.0)
+    m.longest = 5
+    m.counts[list(cells(text))] = 50
+    assert segment(f"{text};x", m) == [text, "x"]
+    runs = {}
+    expected(text, m, {}, runs)
+    assert "\0005" in runs
+
+
 def test_packed_column(spark):
     rows = [(i, f"m{i % 40}-k{i % 7}; w{i % 11}={'PL'}") for i in range(300)] + [(300, None), (301, ""), (302, "x" * 50_000), (303, "y z " * 5000)]
     got = split_packed(spark.createDataFrame(rows, "k long, f string"), "k", ["f"]).groupBy("k").agg(F.count("*").alias("n"), F.max("pos").alias("p"))
