@@ -142,11 +142,34 @@ def test_encoding(spark):
     assert encoding.encode(df.filter("false"), "id", "text").count() == 0
 
 
+@have_vocab
+def test_joins_are_repaired():
+    """Cuts at any place, in words, white space and contractions, leave the ids as they are."""
+    enc = encoding.encoder(VOCAB)
+    chunked = encoding.ChunkEncoder(enc)
+    rnd = random.Random(8)
+    pool = ["the", " ", "  ", "\n\n", "isn't", "'", "l", "ŋɛ", "12", "<|endoftext|>", "日本語", "😀", "\u00a0", "\t", "x" * 50, "====", ".", "\x1c", "\u3000", "\x85", "s"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(pool) + rnd.choice([" ", "", ""]) for _ in range(rnd.randint(1, 60)))
+        at = sorted({0, len(text), *(rnd.randint(0, len(text)) for _ in range(rnd.randint(0, 12)))})
+        assert sum(chunked.encode([text[a:b] for a, b in zip(at, at[1:])]), []) == enc.encode_ordinary(text)
+    for text in ("a" * 50_000, "  " * 30_000, "ab " * 30_000, "日本語" * 20_000):
+        assert sum(chunked.encode([text[i : i + 64] for i in range(0, len(text), 64)]), []) == enc.encode_ordinary(text)
+
+
 @have_vocab
 def test_chunks_are_shared():
-    a = "Some passage that several documents share, word for word, over a good length of text. " * 20
-    one, two = set(encoding.chunks("Intro one. " + a)), set(encoding.chunks("A rather different beginning of another text. " + a))
-    assert len(one & two) >= min(len(one), len(two)) - 2 and "".join(encoding.chunks(a)) == a
+    rnd = random.Random(2)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))) for _ in range(n))
+    a = words(4000)
+    one, two = encoding.chunks(words(50) + a), encoding.chunks(words(90) + a)
+    assert len(set(one) & set(two)) >= len(one) - 3 and len(one) > 5 and "".join(one[1:]) in "".join(encoding.chunks(a)) + a
+    enc = encoding.ChunkEncoder(encoding.encoder(VOCAB))
+    for text in [one, two] + [one] * 5:
+        enc.encode(text)
+    assert enc.encoded < 0.2 * enc.asked
+    small = encoding.ChunkEncoder(encoding.encoder(VOCAB), memory=3000)
+    assert sum(small.encode(one), []) == sum(enc.encode(one), []) and len(small.new) < 10
 
 
 def test_best_fit():
