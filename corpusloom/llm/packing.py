@@ -112,15 +112,21 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, group_items: int
     )
     placed = first.select("key", "part", "n", "bin")
     open_bins = first.filter("up").groupBy("g", "bin").agg(F.first("fill").alias("fill"))
+    moves = None
     while groups > 1:
         groups = -(-groups // FAN_IN)
         merged = cut(
             open_bins.withColumn("g", F.floor(F.col("g") / FAN_IN).cast("int")).groupBy("g").applyInPandas(_merge_group(capacity, groups), "g int, bin long, into long, fill int, up boolean")
         )
         moved = merged.filter(F.col("bin") != F.col("into")).select("bin", "into")
-        placed = placed.join(moved, "bin", "left").select("key", "part", "n", F.coalesce("into", "bin").alias("bin"))
-        if groups > 1:
-            open_bins = merged.filter(F.col("up") & (F.col("bin") == F.col("into"))).select("g", "bin", "fill")
-            placed = cut(placed)
+        open_bins = merged.filter(F.col("up") & (F.col("bin") == F.col("into"))).select("g", "bin", "fill")
+        if moves is None:
+            moves = moved
+        else:
+            # where a bin went that has moved on
+            onward = moved.select(F.col("bin").alias("into"), F.col("into").alias("onward"))
+            moves = moves.join(onward, "into", "left").select("bin", F.coalesce("onward", "into").alias("into")).unionByName(moved)
+    if moves is not None:
+        placed = placed.join(moves, "bin", "left").select("key", "part", "n", F.coalesce("into", "bin").alias("bin"))
     packed = placed.select("key", "part", "n", F.concat_ws(":", F.lit("bin"), "bin").alias("container"))
     return packed.unionByName(whole).select(F.col("key").alias(key), "part", "n", "container")
