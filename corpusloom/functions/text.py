@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.constants import SAYS_ABSENT, SAYS_FOUND
+
 
 def slug(text: Column, most: int = 40) -> Column:
     return F.substring(F.regexp_replace(F.lower(text), r"[^\w]+", "_"), 1, most)
@@ -19,14 +21,17 @@ def without_claim_ids(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s*[\(\[]?\s*claim_id\s*=\s*C\d+\s*[\)\]]?", ""), r"\s{2,}", " "))
 
 
-_FOUND = r"(?i)(\b(?:found|attested|appears?|present|occurs?|exists?|marked|used|shown|observed|detected)\b)"
-_ABSENT = r"(?i)(\b(?:not found|not attested|absent|zero|0 occurrence|does not (?:appear|occur|exist)|no (?:evidence|examples?|instance))\b)"
+def cleaned(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with no claim ids in the named columns, texts or lists of texts."""
+    kinds = dict(df.dtypes)
+    clean = lambda c: F.transform(c, without_claim_ids) if kinds[c].startswith("array") else without_claim_ids(F.col(c))
+    return df.withColumns({c: clean(c) for c in columns})
 
 
 def consistent_value(value: Column, text: Column, supporting: Column) -> tuple[Column, Column]:
     """(value, whether a person should look): No becomes Partial if the text says found more often than absent, or
     supporting patterns exist."""
-    found, absent = F.regexp_count(text, F.lit(_FOUND)), F.regexp_count(text, F.lit(_ABSENT))
+    found, absent = F.regexp_count(text, F.lit(SAYS_FOUND)), F.regexp_count(text, F.lit(SAYS_ABSENT))
     wrong = (value == "No") & ((found > 0) | (supporting > 0)) & (absent < found)
     return F.when(wrong, "Partial").otherwise(value), F.coalesce(wrong, F.lit(False))
 

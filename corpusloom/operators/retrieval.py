@@ -96,3 +96,12 @@ def mmr(pool: DataFrame, k: int = 5, lam: float = 0.6) -> DataFrame:
 
     kind = dict(pool.dtypes)
     return pool.groupBy("query").applyInPandas(pick, f"query {kind['query']}, rank int, doc {kind['doc']}, score double")
+
+
+def hybrid(docs: DataFrame, key: str, text: str, vectors: DataFrame, vkey: str, vec: str, query: str, query_vector: list[float], k: int = 5) -> DataFrame:
+    """rank, doc, score: pools of five times k from BM25 and dense search are fused, the best three times k that have a
+    vector re-ranked for diversity."""
+    lex, sem = bm25(docs, key, text, query, 5 * k), dense(vectors, vkey, vec, query_vector, 5 * k)
+    with_vec = vectors.select(F.col(vkey).alias("doc"), F.col(vec).alias("vec"))
+    pool = fuse(lex, sem, 10 * k).join(with_vec, "doc").orderBy(F.desc("score"), F.asc("doc")).limit(3 * k)
+    return mmr(pool.select(F.lit("").alias("query"), "doc", "score", "vec"), k).select("rank", "doc", "score")

@@ -62,6 +62,20 @@ def search_sections(sections: DataFrame, query: str, k: int = 8) -> DataFrame:
     return top_per(s, ["lang"], [F.desc("score"), F.asc("first")], k)
 
 
+def find(sections: DataFrame, names: list[str]) -> DataFrame:
+    """The section of each name in each language, with name and how: that of a chunk of this id (1), of this label (2), of
+    this own id (3), or of a chunk whose first part has this id (4, ids that end in _p0); of equals the first."""
+    asked = sections.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    how = (
+        F.when(F.array_contains("chunk_ids", F.col("name")), 1)
+        .when(F.col("label") == F.col("name"), 2)
+        .when(F.col("section_id") == F.col("name"), 3)
+        .when(F.array_contains("chunk_ids", F.concat("name", F.lit("_p0"))), 4)
+    )
+    found = sections.crossJoin(F.broadcast(asked)).withColumn("how", how).filter("how is not null")
+    return top_per(found, ["lang", "name"], [F.asc("how"), F.asc("first")], 1)
+
+
 def resolved_refs(sections: DataFrame) -> DataFrame:
     """lang, src, ref, dst: each reference with the section it names: the last one with that label, else the first
     section whose label contains it. Labels are reduced to distinct ones before the containment join."""

@@ -88,11 +88,15 @@ def trilines(ex: DataFrame, query: str, k: int = 8) -> DataFrame:
     return first_rows(top.join(top.groupBy("lang").agg(F.min("tier").alias("tier")), ["lang", "tier"]).drop("rank"), k).select("lang", "rank", "tier", "ord", "example_id")
 
 
+def in_any_section(preferred: list[str]) -> Column:
+    crumb = F.lower("source_section")
+    return F.greatest(F.lit(False), F.lit(False), *[F.contains(crumb, F.lit(p.lower())) for p in preferred])
+
+
 def section_aware(candidates: DataFrame, preferred: list[str], k: int = 8) -> DataFrame:
     """At most k candidates, those of preferred sections first: no more than half of k and one of them, the rest from
     other sections only."""
-    crumb = F.lower("source_section")
-    pref = F.greatest(F.lit(False), F.lit(False), *[F.contains(crumb, F.lit(p.lower())) for p in preferred])
+    pref = in_any_section(preferred)
     # no more than k of either side matter, so the sides are cut before they are counted
     c = top_per(candidates.withColumn("pref", pref), ["lang", "pref"], [F.asc("ord")], k, "r")
     c = c.join(c.groupBy("lang").agg(F.count_if("pref").alias("n_pref")), "lang")

@@ -115,6 +115,13 @@ def question_words(text: str, language: str = "") -> frozenset:
     return frozenset(w for w in re.findall(r"[a-z]+", (text or "").lower()) if len(w) >= 3 and w not in QUESTION_STOP and w not in own)
 
 
+def content_words(question: Column, language: Column) -> Column:
+    """question_words as an expression: sorted, each once."""
+    own = F.filter(F.split(F.lower(F.coalesce(language, F.lit(""))), r"\W+"), lambda t: F.length(t) >= 3)
+    found = F.regexp_extract_all(F.lower(F.coalesce(question, F.lit(""))), F.lit("([a-z]+)"), 1)
+    return F.array_sort(F.array_except(F.filter(found, lambda w: (F.length(w) >= 3) & ~w.isin(*QUESTION_STOP)), own))
+
+
 def distinct_questions(questions: DataFrame, threshold: float = QUESTION_JACCARD) -> DataFrame:
     """questions: language, ord, question -> those kept. In order, a question is dropped if it shares the threshold of
     its content words with one kept before; sequential within a language, whose list of questions is short."""

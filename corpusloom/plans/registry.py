@@ -18,6 +18,8 @@ class Corpus:
     igt: DataFrame
     chunk: DataFrame
     abbrev: DataFrame
+    #: ord and vec of chunks, where an encoder made them.
+    vectors: DataFrame | None = None
 
     def __post_init__(self):
         self.ex = stats.examples(self.igt)
@@ -25,7 +27,7 @@ class Corpus:
         self.sections = sections.with_key_terms(sections.assemble(self.view))
 
     def for_language(self, lang: str) -> "Corpus":
-        return Corpus(self.igt.filter(F.col("lang") == lang), self.chunk.filter(F.col("lang") == lang), self.abbrev)
+        return Corpus(self.igt.filter(F.col("lang") == lang), self.chunk.filter(F.col("lang") == lang), self.abbrev, self.vectors)
 
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {}
@@ -47,10 +49,10 @@ def call(corpus: Corpus, name: str, **args) -> DataFrame:
 
 @tool("read_full_section")
 def read_full_section(c: Corpus, query: str, max_chars: int = 8000) -> DataFrame:
-    """A section by the id of one of its chunks, its label or its own id; else the best match of a search."""
-    by_id = F.when(F.array_contains("chunk_ids", query), 1).when(F.col("label") == query, 2).when(F.col("section_id") == query, 3)
-    found = c.sections.withColumn("how", by_id).filter("how is not null").select("lang", "section_id", "full_text", "char_count", "how", "first")
-    searched = sections.search_sections(c.sections, query, 1).select("lang", "section_id", "full_text", "char_count", F.lit(4).alias("how"), "first")
+    """A section by the id of one of its chunks, its label, its own id or the id without a part; else the best match of
+    a search."""
+    found = sections.find(c.sections, [query]).select("lang", "section_id", "full_text", "char_count", "how", "first")
+    searched = sections.search_sections(c.sections, query, 1).select("lang", "section_id", "full_text", "char_count", F.lit(5).alias("how"), "first")
     best = stats.top_per(found.unionByName(searched), ["lang"], [F.asc("how"), F.asc("first")], 1)
     return best.select("lang", "section_id", F.substring("full_text", 1, max_chars).alias("text"), "char_count")
 
@@ -66,15 +68,39 @@ def extract_author_claims(c: Corpus, query: str) -> DataFrame:
 
 
 @tool("search_text")
-def search_text(c: Corpus, query: str, top_k: int = 5, confidence: float = 1.0) -> DataFrame:
+def search_text(c: Corpus, query: str, top_k: int = 5, confidence: float = 1.0, query_vector: list[float] | None = None) -> DataFrame:
+    """BM25; with a vector of the query and vectors of the chunks, fused with dense search and re-ranked for diversity."""
     docs = c.view.select("ord", F.concat_ws(" ", "chapter", "section", "subsection", "text").alias("text"))
-    return retrieval.bm25(docs, "ord", "text", query, 2 * top_k if confidence < 0.5 else top_k)
+    k = 2 * top_k if confidence < 0.5 else top_k
+    if query_vector is not None and c.vectors is not None:
+        return retrieval.hybrid(docs, "ord", "text", c.vectors, "ord", "vec", query, query_vector, k)
+    return retrieval.bm25(docs, "ord", "text", query, k)
 
 
 @tool("analyse_tag")
-def analyse_tag(c: Corpus, tag: str) -> DataFrame:
+def analyse_tag(c: Corpus, tag: str, preferred_sections: list[str] | None = None) -> DataFrame:
+    """All that is known of the tags a name stands for: profile, and as lists partners, places, surface forms and examples,
+    those of preferred sections first."""
     prof = stats.tag_profiles(c.ex)
-    return prof.join(tools.resolve_tag(prof, [tag]).select("lang", "tag", "rank"), ["lang", "tag"])
+    hit = tools.resolve_tag(prof, [tag]).select("lang", "tag", "rank")
+    some = hit.select("lang", "tag")
+
+    def listed(df: DataFrame, out: str, *columns: str) -> DataFrame:
+        return df.groupBy("lang", "tag").agg(F.array_sort(F.collect_list(F.struct("rank", *columns))).alias(out))
+
+    forms = tools.surface_forms(c.ex, tag).withColumn("tag", F.lit(tag.upper()))
+    first = hit.filter("rank = 1").select("lang", "tag")
+    holding = c.ex.join(first, "lang").filter(F.expr("array_contains(tags, tag)"))
+    shown = tools.section_aware(holding, preferred_sections or []).join(first, "lang")
+    out = prof.join(hit, ["lang", "tag"])
+    for x in (
+        listed(stats.top_cooccurrents(c.ex).join(some, ["lang", "tag"]), "partners", "partner", "cnt"),
+        listed(stats.top_sections(c.ex).join(some, ["lang", "tag"]), "places", "sec", "cnt"),
+        listed(forms, "forms", "form", "cnt"),
+        listed(shown, "examples", "example_id", "ord"),
+    ):
+        out = out.join(x, ["lang", "tag"], "left")
+    return out
 
 
 @tool("analyse_construction")
@@ -85,13 +111,25 @@ def analyse_construction(c: Corpus, tags: list[str], preferred_sections: list[st
 
 
 @tool("analyse_absence")
-def analyse_absence(c: Corpus, category: str) -> DataFrame:
-    return stats.absence_verdicts(c.ex).filter(F.col("category") == stats.resolve_category(category))
+def analyse_absence(c: Corpus, category: str, preferred_sections: list[str] | None = None) -> DataFrame:
+    """With preferred sections, also what these alone hold (hits_preferred)."""
+    asked = F.col("category") == stats.resolve_category(category)
+    out = stats.absence_verdicts(c.ex).filter(asked)
+    if preferred_sections:
+        own = stats.absence_verdicts(c.ex.filter(tools.in_any_section(preferred_sections))).filter(asked)
+        out = out.join(own.select("lang", F.col("hits").alias("hits_preferred")), "lang", "left").fillna(0, ["hits_preferred"])
+    return out
 
 
 @tool("compare_tags")
-def compare_tags(c: Corpus, tag_a: str, tag_b: str) -> DataFrame:
-    return stats.compare_tags(c.ex, [(tag_a, tag_b)])
+def compare_tags(c: Corpus, tag_a: str, tag_b: str, preferred_sections: list[str] | None = None) -> DataFrame:
+    """With preferred sections, also examples of both tags, those of these sections first."""
+    out = stats.compare_tags(c.ex, [(tag_a, tag_b)])
+    if preferred_sections:
+        both = c.ex.filter(F.array_contains("tags", tag_a.upper()) & F.array_contains("tags", tag_b.upper()))
+        shown = tools.section_aware(both, preferred_sections).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "example_id"))).alias("examples"))
+        out = out.join(shown, "lang", "left")
+    return out
 
 
 @tool("get_section_igt")

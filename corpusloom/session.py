@@ -84,3 +84,16 @@ def cut(df: DataFrame) -> DataFrame:
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, by the file system that its path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    out.write(text.encode())
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, as text."""
+    return spark.read.text(path, wholetext=True).first()[0]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.sections import plain_chunks
 from corpusloom.schemas import CHUNK, CODING, IGT, UNIVERSAL
+from corpusloom.session import read_text
 
 _NAMES = ["chapter", "section", "subsection", "subsubsection"]
 
@@ -19,14 +20,29 @@ def _items(spark: SparkSession, path: str, fields: str) -> DataFrame:
     return whole.select("file", F.posexplode("a").alias("ord", "item")).select("file", F.col("ord").cast("long").alias("ord"), F.from_json("item", fields).alias("r")).select("file", "ord", "r.*")
 
 
+def _lines(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """The objects of JSON lines, by a scan that can be split; each names its place (ord)."""
+    return spark.read.text(path).select(F.from_json("value", f"ord long, {fields}").alias("r")).select("r.*")
+
+
 def _filled(*names: str):
     return [F.coalesce(n, F.lit("")).alias(n) for n in names]
 
 
 def chunks_json(spark: SparkSession, path: str, lang: str = "") -> DataFrame:
     """Chunks of a JSON array; missing strings are empty, chunk_id defaults to the place, level follows the names."""
-    names = ["chunk_id", "text", *_NAMES, "label", "summary"]
-    d = _items(spark, path, ", ".join(f"{n} string" for n in names) + ", page int")
+    return _chunks(_items(spark, path, _CHUNK_FIELDS), lang)
+
+
+def chunks_json_lines(spark: SparkSession, path: str, lang: str = "") -> DataFrame:
+    """The same of JSON lines that hold their place, for corpora too large for one array."""
+    return _chunks(_lines(spark, path, _CHUNK_FIELDS), lang)
+
+
+_CHUNK_FIELDS = ", ".join(f"{n} string" for n in ["chunk_id", "text", *_NAMES, "label", "summary"]) + ", page int"
+
+
+def _chunks(d: DataFrame, lang: str) -> DataFrame:
     level = F.when(F.coalesce("subsubsection", F.lit("")) != "", 4).when(F.coalesce("subsection", F.lit("")) != "", 3).when(F.coalesce("section", F.lit("")) != "", 2).otherwise(1)
     ids = F.coalesce("chunk_id", F.format_string("chunk_%04d", "ord"))
     return d.select(F.lit(lang).alias("lang"), "ord", ids.alias("chunk_id"), *_filled("text", *_NAMES, "label"), "page", level.alias("level"), *_filled("summary"))
@@ -34,8 +50,18 @@ def chunks_json(spark: SparkSession, path: str, lang: str = "") -> DataFrame:
 
 def igt_json(spark: SparkSession, path: str, lang: str = "") -> DataFrame:
     """Examples of a JSON array. gloss_tags may be a list or a list of lists, row by row (the first element decides)."""
-    names = ["example_id", "source", "morpheme", "gloss", "translation", *_NAMES, "tones", "label", "source_section", "gloss_tags"]
-    d = _items(spark, path, ", ".join(f"{n} string" for n in names))
+    return _examples(_items(spark, path, _IGT_FIELDS), lang)
+
+
+def igt_json_lines(spark: SparkSession, path: str, lang: str = "") -> DataFrame:
+    """The same of JSON lines that hold their place, for corpora too large for one array."""
+    return _examples(_lines(spark, path, _IGT_FIELDS), lang)
+
+
+_IGT_FIELDS = ", ".join(f"{n} string" for n in ["example_id", "source", "morpheme", "gloss", "translation", *_NAMES, "tones", "label", "source_section", "gloss_tags"])
+
+
+def _examples(d: DataFrame, lang: str) -> DataFrame:
     nested = F.col("gloss_tags").rlike(r"^\s*\[\s*\[")
     tags = F.coalesce(F.when(nested, F.flatten(F.from_json("gloss_tags", "array<array<string>>"))).otherwise(F.from_json("gloss_tags", "array<string>")), F.array().cast("array<string>"))
     crumb = F.concat_ws(" > ", *[F.when(F.col(n) != "", F.col(n)) for n in _NAMES])
@@ -87,10 +113,13 @@ def language_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("ord", F.trim("line").alias("language"))
 
 
-def config(path: str) -> dict:
-    """A language configuration; raises ValueError if it can't be used."""
-    with open(path, encoding="utf-8") as f:
-        c = json.load(f)
+def config(path: str, spark: SparkSession | None = None) -> dict:
+    """A language configuration; raises ValueError if it can't be used. With a session, from any file system it knows."""
+    if spark is not None:
+        c = json.loads(read_text(spark, path))
+    else:
+        with open(path, encoding="utf-8") as f:
+            c = json.load(f)
     if not c.get("languages"):
         raise ValueError("no languages")
     for entry in c["languages"]:
