@@ -55,6 +55,29 @@ def test_term_counts_empty(spark):
     assert TermCounts(spark).apply().version == 0
 
 
+def test_only_touched_buckets_are_written(spark):
+    rows = [(i, [f"t{i}"]) for i in range(200)]
+    s = TermCounts(spark, buckets=8).apply(added=records(spark, rows))
+    before = dict(s._written)
+    s.apply(added=records(spark, [(900, ["t3"])]), removed=records(spark, [(7, ["t7"])]))
+    again = TermCounts(spark, s.path)
+    changed = {b for b in before if again._written[b] != before[b]}
+    # t3, t7; the number of records stays
+    assert 1 <= len(changed) <= 2 and again.buckets == 8 and stored(again) == stored(s)
+    assert stored(s)["t3"] == (2, 2) and "t7" not in stored(s) and s.total() == 200
+    s.apply(removed=records(spark, [(i, t) for i, t in rows if i != 7] + [(900, ["t3"])]))
+    assert stored(TermCounts(spark, s.path)) == {} and s.total() == 0
+
+
+def test_shared_aliases_and_sets_of_words():
+    r = Resolver([("PST", "past"), ("PRT", "past"), ("DEFPST", "definite past tense marker"), ("PFV", "perfective"), ("past2", None)])
+    # an alias of two values stands for none of them
+    assert r.resolve("Past") == "" and r.resolve("pst") == "PST"
+    assert r.resolve("tense past definite marker") == "DEFPST" and r.resolve("definite past marker") == "DEFPST"
+    assert r.resolve("past marker") == "" and r.resolve("definite marker of the past tense") == ""
+    assert r.resolve("definitee pasts tense marker") == "DEFPST"
+
+
 def test_long_record(spark):
     s = TermCounts(spark).apply(added=records(spark, [(0, ["x"] * 60_000 + ["y"])]))
     assert stored(s) == {"x": (60_000, 1), "y": (1, 1)}
