@@ -1,11 +1,11 @@
 """Oversized texts cut into overlapping pieces at natural boundaries.
 
-A text is never handled as a whole. Workers look at ranges of it, each with a halo of the characters beside it, and
-list the natural boundaries of their range. The boundary tables are stitched: a running sum over the lengths of the
-ranges turns places in a range into places in the text, and the cuts are chosen on the table alone. A giant text is
-stitched in segments, each of which begins at a cut that depends on its own neighbourhood only, so no task holds more
-than a segment's table. Pieces are given as offsets; their texts are taken by offset, from the column or from the byte
-range of the file.
+Workers look at byte ranges of a text, each with a halo of the bytes beside it, and list the natural boundaries of
+their range. The boundary tables are stitched: a running sum over the lengths of the ranges in characters turns places
+in a range into places in the text, and the cuts are chosen on the table alone. A giant text is stitched in segments,
+each of which begins at a cut that depends on its own neighbourhood only, so no task holds more than a segment's table.
+Pieces are given as offsets; their texts are taken by offset, from the column or from the file, of which no task reads
+more than its ranges and pieces.
 
 Defined results: null texts give nothing; texts within the limit give one piece, or none if only oversized ones are
 asked for; without any boundary in reach a cut falls at the limit exactly, be it between a letter and its combining mark;
@@ -14,15 +14,20 @@ pieces cover the whole text, in order; repeated rows give their pieces under the
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters (or bytes, of files) that a worker looks at in one go, and around them.
-RANGE, HALO = 1 << 16, 64
+#: Bytes of a column's text and of a file that a worker looks at in one go, and bytes around them.
+RANGE, FILE_RANGE, HALO = 1 << 13, 1 << 18, 256
+#: Ranges of a file whose lengths are summed together.
+BLOCK = 1024
 #: Ranges that are stitched as one segment.
 SEGMENT = 16
 #: Ranks of boundaries: new paragraph, end of line or sentence, end of clause, white space.
@@ -63,19 +68,33 @@ def boundaries(text: str, begin: int, end: int) -> tuple[list[int], list[int]]:
     return at.tolist(), rank.tolist()
 
 
-def ranges(text: str) -> Iterator[tuple[int, int, list[int], list[int]]]:
-    """number, length, boundaries and ranks of each range of a text."""
-    for no, s in enumerate(range(0, len(text), RANGE)):
-        e = min(len(text), s + RANGE)
-        b = max(0, s - HALO)
-        at, rank = boundaries(text[b : e + HALO], s - b, e - b)
-        yield no, e - s, at, rank
+def _begin(raw: bytes, at: int) -> int:
+    """The first place from at on where a character begins."""
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def look(raw: bytes, begin: int, end: int) -> tuple[str, list[int], list[int]]:
+    """The characters of a byte range of UTF-8 (raw holds the halo too), their boundaries and ranks. Bytes that are no
+    UTF-8 count as one replacement character each."""
+    before, own, after = (raw[x:y].decode("utf-8", "replace") for x, y in ((0, begin), (begin, end), (end, len(raw))))
+    at, rank = boundaries(before + own + after, len(before), len(before) + len(own))
+    return own, at, rank
+
+
+def ranges(text: str, size: int = RANGE) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """number, length in characters, boundaries and ranks of each byte range of a text."""
+    raw = text.encode("utf-8", "replace")
+    for no, s in enumerate(range(0, len(raw), size)):
+        b, e = _begin(raw, s), _begin(raw, min(len(raw), s + size))
+        lead = _begin(raw, max(0, b - HALO))
+        own, at, rank = look(raw[lead : _begin(raw, min(len(raw), e + HALO))], b - lead, e - lead)
+        yield no, len(own), at, rank
 
 
 def choose_cut(places: list[tuple[int, int]], begin: int, limit: int) -> int:
     """The place at which the piece from begin ends: the best boundary of its last part, else the limit."""
-    from bisect import bisect_left, bisect_right
-
     hi = bisect_right(places, (begin + limit, 9))
     for share, least in ((0.5, PARAGRAPH), (0.6, SENTENCE), (0.75, CLAUSE), (0.5, WORD)):
         lo = bisect_left(places, (begin + int(limit * share), 0))
@@ -87,8 +106,6 @@ def choose_cut(places: list[tuple[int, int]], begin: int, limit: int) -> int:
 
 def choose_start(places: list[tuple[int, int]], begin: int, cut: int, overlap: int) -> int:
     """The boundary nearest to cut - overlap from which the next piece begins; it lies after begin."""
-    from bisect import bisect_left
-
     if not overlap:
         return cut
     want = cut - overlap
@@ -122,34 +139,37 @@ def stitch(parts: list[tuple[int, int, list[int], list[int]]], first: int, whole
 def _detect(keys: list[str]):
     def run(batches):
         for b in batches:
-            rows, no, ln, at, rk, last = [], [], [], [], [], []
+            rows, no, off, ln, at, rk, last = [], [], [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                for r in ranges(text):
-                    rows.append(i)
-                    last.append((len(text) - 1) // RANGE)
-                    for x, v in zip((no, ln, at, rk), r):
-                        x.append(v)
+                got = list(ranges(text))
+                rows += [i] * len(got)
+                last += [len(got) - 1] * len(got)
+                off += [0, *accumulate(r[1] for r in got)][:-1]
+                for x, v in zip((no, ln, at, rk), zip(*got)):
+                    x += v
             i32 = pa.list_(pa.int32())
-            cols = [*(b.column(k).take(pa.array(rows, pa.int64())) for k in keys), pa.array(no, pa.int32()), pa.array([RANGE * x for x in no], pa.int64()), pa.array(ln, pa.int32()), pa.array(last, pa.int32())]
+            cols = [*(b.column(k).take(pa.array(rows, pa.int64())) for k in keys), pa.array(no, pa.int32()), pa.array(off, pa.int64()), pa.array(ln, pa.int32()), pa.array(last, pa.int32())]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(at, i32), pa.array(rk, i32)], [*keys, "no", "off", "len", "last", "at", "rank"])
 
     return run
 
 
-def placed_ranges(ranges_df: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds off (length of the ranges before) and last (number of the last range). Only lengths go through the window;
-    ranges_df is read twice."""
+def placed_ranges(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds off (length of the ranges before). Lengths are summed by blocks, blocks by text: no window holds more than
+    BLOCK ranges or the blocks of one text. table is read twice."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys).orderBy("no")
-    lengths = ranges_df.select(*keys, "no", "len").select(
-        *keys, "no", (F.sum("len").over(w) - F.col("len")).alias("off"), F.max("no").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last")
-    )
-    return ranges_df.join(lengths, [*keys, "no"])
+    lengths = table.select(*keys, "no", "len").withColumn("block", (F.col("no") / BLOCK).cast("int"))
+    sums = lengths.groupBy(*keys, "block").agg(F.sum("len").alias("sum"))
+    before = sums.select(*keys, "block", (F.sum("sum").over(Window.partitionBy(*keys).orderBy("block")) - F.col("sum")).alias("before"))
+    inner = F.sum("len").over(Window.partitionBy(*keys, "block").orderBy("no")) - F.col("len")
+    offs = lengths.select(*keys, "no", "block", inner.alias("inner")).join(before, [*keys, "block"]).select(*keys, "no", (F.col("before") + F.col("inner")).alias("off"))
+    return table.join(offs, [*keys, "no"])
 
 
 def cut_table(placed: DataFrame, keys: list[str], limit: int, overlap: int) -> DataFrame:
-    """keys, seg, k, begin, end of each piece, from the ranges' boundary tables (keys, no, off, len, last, at, rank)."""
+    """keys, seg, k, begin, end of each piece and no, the range that it begins in, from the ranges' boundary tables (keys,
+    no, off, len, last, at, rank)."""
     own = (F.col("no") / SEGMENT).cast("int")
     segs = F.when((F.col("no") % SEGMENT == SEGMENT - 1) & (F.col("no") < F.col("last")), F.array(own, own + 1)).otherwise(F.array(own))
     grouped = (
@@ -160,21 +180,23 @@ def cut_table(placed: DataFrame, keys: list[str], limit: int, overlap: int) -> D
 
     def run(batches):
         for b in batches:
-            rows, no, be, en = [], [], [], []
+            rows, no, be, en, of = [], [], [], [], []
             segs, last, rs = (b.column(c).to_pylist() for c in ("seg", "last", "rs"))
             for i in range(len(segs)):
                 parts = [(r["off"], r["len"], r["at"], r["rank"]) for r in rs[i]]
                 first = next(r["off"] for r in rs[i] if r["no"] >= segs[i] * SEGMENT)
+                offs = [r["off"] for r in rs[i]]
                 for k, (x, y) in enumerate(stitch(parts, first, rs[i][-1]["no"] == last[i], limit, overlap)):
                     rows.append(i)
+                    of.append(rs[i][bisect_right(offs, x) - 1]["no"])
                     no.append(k)
                     be.append(x)
                     en.append(y)
-            cols = [*(b.column(k).take(pa.array(rows, pa.int64())) for k in [*keys, "seg"]), pa.array(no, pa.int32()), pa.array(be, pa.int64()), pa.array(en, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, [*keys, "seg", "k", "begin", "end"])
+            cols = [*(b.column(k).take(pa.array(rows, pa.int64())) for k in [*keys, "seg"]), pa.array(no, pa.int32()), pa.array(be, pa.int64()), pa.array(en, pa.int64()), pa.array(of, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, [*keys, "seg", "k", "begin", "end", "no"])
 
     types = dict(placed.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", seg int, k int, begin long, end long"
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", seg int, k int, begin long, end long, no int"
     return grouped.mapInArrow(run, schema)
 
 
@@ -199,72 +221,71 @@ def split_texts(df: DataFrame, keys: list[str], text: str, limit: int = 2000, ov
 # ---- files ----------------------------------------------------------------------------------------------------------
 
 
-def _aligned(f, at: int) -> int:
-    """The first byte at or after at that begins a character."""
-    f.seek(at)
-    for i, byte in enumerate(f.read(4)):
-        if byte & 0xC0 != 0x80:
-            return at + i
-    return at
+def _open(path: str):
+    """A file of any file system that Arrow knows, for reading at places."""
+    from pyarrow import fs
 
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(name)
 
-def file_ranges(path: str, begin: int, end: int, size: int) -> tuple[int, list[int], list[int], list[int]]:
-    """Characters, boundaries, their ranks and their bytes of the byte range [begin, end) of a UTF-8 file."""
-    with open(path, "rb") as f:
-        b, e = _aligned(f, begin), (size if end >= size else _aligned(f, end))
-        lead = _aligned(f, max(0, b - 4 * HALO))
-        f.seek(lead)
-        raw = f.read(e - lead + 4 * HALO)
-    before, own = raw[: b - lead].decode("utf-8", "replace"), raw[b - lead : e - lead].decode("utf-8", "replace")
-    after = raw[e - lead :].decode("utf-8", "ignore")
-    before, after = before[-HALO:], after[:HALO]
-    at, rank = boundaries(before + own + after, len(before), len(before) + len(own))
-    bytes_at, last, total = [], 0, b
+
+def file_range(f, begin: int, end: int, size: int) -> tuple[int, int, list[int], list[int], list[int]]:
+    """First byte, characters, boundaries, their ranks and their bytes of the byte range [begin, end) of a UTF-8 file."""
+    lead = max(0, begin - HALO - 3)
+    raw = f.read_at(min(size, end + HALO + 7) - lead, lead)
+    b, e = _begin(raw, begin - lead), _begin(raw, end - lead)
+    skip = _begin(raw, 0)
+    tail = _begin(raw, min(len(raw), e + HALO)) if lead + len(raw) < size else len(raw)
+    own, at, rank = look(raw[skip:tail], b - skip, e - skip)
+    edge, last, bytes_at = lead + b, 0, []
     for a in at:
-        total += len(own[last:a].encode())
-        bytes_at.append(total)
+        edge += len(own[last:a].encode())
+        bytes_at.append(edge)
         last = a
-    return len(own), at, rank, bytes_at
-
-
-def split_files(spark: SparkSession, paths: list[str], limit: int = 2000, overlap: int = 200, range_bytes: int = RANGE) -> DataFrame:
-    """path, piece, begin, end (characters), text of the pieces of UTF-8 files that all executors can open by path."""
-    import os
-
-    jobs = [(p, i, s, min(s + range_bytes, n), n) for p in paths for n in [os.path.getsize(p)] for i, s in enumerate(range(0, n, range_bytes))]
-    parts = max(1, min(len(jobs), 2000))
-    todo = spark.createDataFrame(jobs, "path string, no int, b long, e long, size long").repartition(parts, "path", "no")
+    return lead + b, len(own), at, rank, bytes_at
 
-    def detect(it):
-        for pdf in it:
-            got = [file_ranges(r.path, r.b, r.e, r.size) for r in pdf.itertuples()]
-            for c, k in (("len", 0), ("at", 1), ("rank", 2), ("bytes", 3)):
-                pdf[c] = [g[k] for g in got]
-            yield pdf[["path", "no", "len", "at", "rank", "bytes"]]
 
+def split_files(spark: SparkSession, paths: list[str], limit: int = 2000, overlap: int = 200, range_bytes: int = FILE_RANGE) -> DataFrame:
+    """path, piece, begin, end (characters), text of the pieces of UTF-8 files, or of those in folders. Sizes come from the file
+    system; ranges, cuts and pieces are rows, and a piece is read from the last boundary at or before its begin."""
     from pyspark.sql import Window
 
     from corpusloom.session import cut
 
-    tab = cut(todo.mapInPandas(detect, "path string, no int, len int, at array<int>, rank array<int>, bytes array<long>"))
-    cuts = cut_table(placed_ranges(tab.drop("bytes"), ["path"]), ["path"], limit, overlap)
-    w = Window.partitionBy("path").orderBy("no")
-    offs = tab.select("path", "no", "len").withColumn("off", F.sum("len").over(w) - F.col("len"))
-    # a piece begins in one range; a byte place at or before it, and how many characters to skip
-    starts = cuts.join(offs, "path").filter((F.col("begin") >= F.col("off")) & (F.col("begin") < F.col("off") + F.col("len")))
-    jobs2 = starts.join(todo.select("path", "no", "b", "size"), ["path", "no"]).select("path", "seg", "k", "begin", "end", "b", "size", (F.col("begin") - F.col("off")).alias("skip"))
+    files = spark.read.format("binaryFile").load(paths).select("path", "length").filter("length > 0")
+    last = F.floor((F.col("length") - 1) / range_bytes).cast("int")
+    todo = files.select("path", "length", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("no")).repartition("path", "no")
+
+    def detect(it):
+        for pdf in it:
+            got = []
+            for path, rows in pdf.groupby("path", sort=False):
+                with _open(path) as f:
+                    for r in rows.itertuples():
+                        got.append((path, r.no, r.last, *file_range(f, r.no * range_bytes, min((r.no + 1) * range_bytes, r.length), r.length)))
+            yield pd.DataFrame(got, columns=["path", "no", "last", "first", "len", "at", "rank", "bytes"])
+
+    table = cut(todo.mapInPandas(detect, "path string, no int, last int, first long, len int, at array<int>, rank array<int>, bytes array<long>"))
+    placed = placed_ranges(table, ["path"])
+    cuts = cut(cut_table(placed.drop("bytes", "first"), ["path"], limit, overlap))
+    per = cuts.groupBy("path", "seg").agg((F.max("k") + 1).alias("pieces"))
+    before = per.select("path", "seg", (F.sum("pieces").over(Window.partitionBy("path").orderBy("seg")) - F.col("pieces")).alias("before"))
+    of_range = cuts.join(before, ["path", "seg"]).groupBy("path", "no").agg(F.collect_list(F.struct((F.col("before") + F.col("k")).alias("piece"), "begin", "end")).alias("ps"))
 
     def emit(it):
         for pdf in it:
-            texts = []
-            for r in pdf.itertuples():
-                with open(r.path, "rb") as f:
-                    b = _aligned(f, r.b)
-                    f.seek(b)
-                    n = int(r.skip + r.end - r.begin)
-                    texts.append(f.read(4 * n).decode("utf-8", "replace")[int(r.skip) : n])
-            pdf["text"] = texts
-            yield pdf[["path", "seg", "k", "begin", "end", "text"]]
-
-    out = jobs2.mapInPandas(emit, "path string, seg int, k int, begin long, end long, text string")
-    return out.withColumn("piece", F.row_number().over(Window.partitionBy("path").orderBy("seg", "k")) - 1).select("path", "piece", "begin", "end", "text")
+            out = []
+            for path, rows in pdf.groupby("path", sort=False):
+                with _open(path) as f:
+                    for r in rows.itertuples():
+                        for p in r.ps:
+                            k = bisect_right(r.at, p["begin"] - r.off) - 1
+                            byte, skip = (int(r.bytes[k]), p["begin"] - r.off - r.at[k]) if k >= 0 else (r.first, p["begin"] - r.off)
+                            n = int(skip + p["end"] - p["begin"])
+                            out.append((path, p["piece"], p["begin"], p["end"], f.read_at(4 * n, byte).decode("utf-8", "replace")[int(skip) : n]))
+            yield pd.DataFrame(out, columns=["path", "piece", "begin", "end", "text"])
+
+    jobs = of_range.join(placed.select("path", "no", "off", "first", "at", "bytes"), ["path", "no"])
+    return jobs.mapInPandas(emit, "path string, piece long, begin long, end long, text string")
