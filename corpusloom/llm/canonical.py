@@ -6,8 +6,9 @@ characters, case, outer punctuation) and resolved in this order:
 1. the folded value, without separators, is a canonical name or alias, or the only one that begins so (4 letters on);
 2. a multi-pattern automaton over all names and aliases finds those embedded at word limits; longest matches win
    without overlap, and decide when they cover the value but for punctuation and point to one canonical value;
-3. token sets: the words of the value against the words of each alias, words equal or one edit apart; the best
-   canonical value wins if all words are matched, or if the whole value is one edit apart (names from 6 letters on).
+3. similarity: the whole value one edit apart (names from 6 letters on), else token sets: the set of the value's words
+   against that of each alias, words one edit apart counting as shared; the best canonical value wins if three quarters
+   of the united words are shared.
 
 Two canonical values that fit equally well leave a value unmatched, which is reported as the empty string. Each task
 resolves a distinct value once and keeps the result (bounded cache); no shuffle is needed, so a value that a third of
@@ -34,6 +35,8 @@ MAX_LIST_CHARS = 20_000_000
 CACHE = 500_000
 #: Shortest beginning that may stand for the whole, shortest word that may hold an edit, shortest name that may.
 PREFIX, EDIT_WORD, EDIT_NAME = 4, 4, 6
+#: Least share of its united words that a value has in common with an alias.
+SIMILAR = 0.75
 _SEP = re.compile(r"[\s._:\-/]+")
 _OUTER = " \t\r\n\"'“”‘’[](){}<>.,;:?!-=~*_"
 
@@ -71,25 +74,23 @@ class Resolver:
         import ahocorasick
 
         self.canonical = {c for c, _ in entries}
-        self.names: dict[str, str | None] = {}
-        self.forms: list[tuple[str, list[str], str, bool]] = []
-        auto = ahocorasick.Automaton()
-        for name, is_alias in ((0, False), (1, True)):
+        # what a spelling stands for: canonical names win over aliases, and several values of one rank are kept apart
+        self.names: dict[str, tuple[bool, set[str]]] = {}
+        self.forms: list[tuple[str, frozenset[str], str, bool]] = []
+        embedded: dict[str, tuple[bool, set[str]]] = {}
+        for column, is_alias in ((0, False), (1, True)):
             for e in entries:
-                if not e[name]:
-                    continue
-                f = fold(e[name])
+                f = fold(e[column]) if e[column] else ""
                 if not f:
                     continue
-                k = squash(f)
-                # canonical names win over aliases; two canonical values of one name leave it ambiguous
-                if k not in self.names:
-                    self.names[k] = e[0]
-                elif self.names[k] != e[0] and not is_alias:
-                    self.names[k] = None
-                self.forms.append((f, f.replace("_", " ").split(), e[0], is_alias))
-                if f not in auto:
-                    auto.add_word(f, (len(f), e[0]))
+                for known, spelling in ((self.names, squash(f)), (embedded, f)):
+                    rank, values = known.setdefault(spelling, (is_alias, set()))
+                    if rank == is_alias:
+                        values.add(e[0])
+                self.forms.append((f, frozenset(f.replace("_", " ").split()), e[0], is_alias))
+        auto = ahocorasick.Automaton()
+        for f, (_, values) in embedded.items():
+            auto.add_word(f, (len(f), frozenset(values)))
         self.begins: dict[str, set[str]] = {}
         for f, _, c, is_alias in self.forms:
             if is_alias:
@@ -122,7 +123,8 @@ class Resolver:
             return ""
         k = squash(f)
         if k in self.names:
-            return self.names[k] or ""
+            values = self.names[k][1]
+            return next(iter(values)) if len(values) == 1 else ""
         if (b := self.begins.get(k)) and len(b) == 1:
             return next(iter(b))
         return self._embedded(f) or self._similar(f, k)
@@ -131,16 +133,17 @@ class Resolver:
         """The canonical value of the longest non-overlapping mentions, if they cover the value and agree."""
         if not len(self.auto):
             return ""
-        spans = []
+        spans: list[tuple[int, int, int, frozenset]] = []
         for end, (n, c) in self.auto.iter(f):
             s = end - n + 1
             if (s == 0 or not f[s - 1].isalnum()) and (end + 1 == len(f) or not f[end + 1].isalnum()):
                 spans.append((-n, s, end + 1, c))
-        taken, found = [], set()
-        for n, s, e, c in sorted(spans):
+        taken: list[tuple[int, int]] = []
+        found: set[str] = set()
+        for _, s, e, c in sorted(spans, key=lambda x: x[:3]):
             if all(e <= s2 or s >= e2 for s2, e2 in taken):
                 taken.append((s, e))
-                found.add(c)
+                found |= c
         rest = "".join(ch for i, ch in enumerate(f) if not any(s <= i < e for s, e in taken))
         return found.pop() if len(found) == 1 and not any(ch.isalnum() for ch in rest) else ""
 
@@ -148,30 +151,33 @@ class Resolver:
         whole = {self.forms[i][2] for v in self._deletes(k) for i in self.deletes.get(v, ()) if within_one(k, squash(self.forms[i][0]))} if len(k) >= EDIT_WORD else set()
         if len(whole) == 1:
             return whole.pop()
-        ws = _SEP.sub(" ", f).split()
+        ws = frozenset(_SEP.sub(" ", f).split())
         near = {i for w in ws for v in (self._deletes(w) if len(w) >= EDIT_WORD else {w}) for i in self.word_index.get(v, ())}
-        best: dict[str, int] = {}
+        best: dict[str, tuple[float, int]] = {}
         for i in near:
             _, cs, c, _ = self.forms[i]
-            if len(cs) == len(ws) > 1 and (d := self._distance(ws, cs)) is not None and d <= max(1, len(ws) - 1):
-                best[c] = min(d, best.get(c, 99))
-        low = [c for c, d in best.items() if d == min(best.values())]
+            got = self._likeness(ws, cs)
+            if got and got < best.get(c, (0.0, 0)):
+                best[c] = got
+        low = [c for c, x in best.items() if x == min(best.values())]
         return low[0] if len(low) == 1 else ""
 
     @staticmethod
-    def _distance(ws: list[str], cs: list[str]) -> int | None:
-        """Number of words one edit apart when every word finds another partner; else None."""
-        left, d = list(cs), 0
-        for w in sorted(ws, key=lambda w: w not in cs):
-            if w in left:
-                left.remove(w)
-                continue
-            m = next((x for x in left if len(x) >= EDIT_WORD and within_one(w, x)), None)
-            if m is None:
-                return None
-            left.remove(m)
-            d += 1
-        return d
+    def _likeness(ws: frozenset[str], cs: frozenset[str]) -> tuple[float, int] | None:
+        """(minus the similarity of two sets of words, edits), words one edit apart counting as shared; None if fewer
+        than two are shared, all of those are edited, or the similarity is under SIMILAR."""
+        shared = ws & cs
+        left, edits = set(cs - shared), 0
+        for w in sorted(ws - shared):
+            m = next((x for x in sorted(left) if min(len(w), len(x)) >= EDIT_WORD - 1 and max(len(w), len(x)) >= EDIT_WORD and within_one(w, x)), None)
+            if m is not None:
+                left.remove(m)
+                edits += 1
+        n = len(shared) + edits
+        if n < 2 or edits > max(1, n - 1):
+            return None
+        similarity = n / (len(ws) + len(cs) - n)
+        return (-similarity, edits) if similarity >= SIMILAR else None
 
 
 def canonical_list(df: DataFrame, canonical: str, alias: str) -> list[tuple[str, str | None]]:
@@ -185,9 +191,9 @@ def canonical_list(df: DataFrame, canonical: str, alias: str) -> list[tuple[str,
 def map_to_list(values: DataFrame, entries: list[tuple[str, str | None]], value: str = "value") -> DataFrame:
     """The rows whose value is not written as in the list, with column canonical; the value column is dropped."""
     known = values.sparkSession.sparkContext.broadcast(entries)
-    names = [c for c, _ in entries]
+    names = values.sparkSession.createDataFrame(sorted({(c,) for c, _ in entries}), "_name string")
     keys = [c for c in values.columns if c != value]
-    irregular = values.filter(F.col(value).isNotNull() & (F.col(value) != "") & ~F.col(value).isin(names) if len(names) <= 1000 else F.col(value) != "")
+    irregular = values.filter(F.col(value) != "").join(F.broadcast(names), F.col(value) == F.col("_name"), "left_anti")
 
     def run(batches):
         r = Resolver(known.value)
