@@ -15,8 +15,8 @@ from corpusloom.operators.stats import ordinal, top_per
 
 
 def claim_ids(claims: DataFrame) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("graph_id").orderBy("seq"))
-    return claims.withColumn("claim_id", F.format_string("C%03d", n))
+    """Adds claim_id: C and the number of the claim in its graph, by ranges and not in one task."""
+    return ordinal(claims, "graph_id", "seq", "r").withColumn("claim_id", F.format_string("C%03d", "r")).drop("r")
 
 
 def contradictions(claims: DataFrame, least: float = CONTRADICTION_FROM) -> DataFrame:
@@ -50,6 +50,15 @@ def resolve_by_strength(claims: DataFrame, gap: float = 0.25) -> DataFrame:
     return c.withColumn("supports", F.when(beaten, F.lit(None).cast("boolean")).otherwise(F.col("supports"))).drop("best_yes", "best_no")
 
 
+def revised(claims: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """claims with the confidences that resolutions of contradictions (graph_id, seq_a, seq_b, resolved, confidence_a,
+    confidence_b) give them; of several for one claim the last, by the pair's places, counts."""
+    r = resolutions.filter("resolved")
+    side = lambda s: r.select("graph_id", F.col(f"seq_{s}").alias("seq"), F.struct("seq_a", "seq_b").alias("at"), F.col(f"confidence_{s}").alias("new")).filter("new is not null")
+    last = side("a").unionByName(side("b")).groupBy("graph_id", "seq").agg(F.max_by("new", "at").alias("new"))
+    return claims.join(last, ["graph_id", "seq"], "left").withColumn("confidence", F.coalesce("new", "confidence")).drop("new")
+
+
 def weight(kind: Column) -> Column:
     out = F.lit(OTHER_WEIGHT)
     for k, w in CLAIM_WEIGHTS.items():

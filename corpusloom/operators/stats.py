@@ -142,6 +142,13 @@ def ngram_samples(ex: DataFrame, k: int = 40, ids: int = 5, translations: int =
     return some.unionByName(told).groupBy("lang", "gram", "rank", "cnt").agg(listed(1).alias("ids"), listed(2).alias("translations"))
 
 
+def ngram_sections(ex: DataFrame, k: int = 40, most: int = 5) -> DataFrame:
+    """The places of frequent bigrams, each once, in the order of their first example."""
+    occ = ngrams(ex, 2).join(frequent_ngrams(ex, 2, k).select("lang", "gram"), ["lang", "gram"])
+    first = occ.groupBy("lang", "gram", "sec").agg(F.min("ord").alias("first"))
+    return top_per(first, ["lang", "gram"], [F.asc("first")], most).select("lang", "gram", "rank", "sec")
+
+
 def _table(df: DataFrame, name: str, values: dict[str, list[str]]) -> DataFrame:
     """A constant table (name, name_ord, tag)."""
     rows = [(k, i, t) for i, (k, ts) in enumerate(values.items()) for t in ts]

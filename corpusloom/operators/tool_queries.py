@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from corpusloom import session
 from corpusloom.functions import text as rules
 from corpusloom.operators import queries as base
-from corpusloom.operators import retrieval, sections, stats, tools, verdicts
+from corpusloom.operators import evidence, retrieval, sections, stats, tools, verdicts
 from corpusloom.operators.constants import KEY_TERM, QUESTION_STOP
 from corpusloom.operators.queries import _BASE, _CH, _PROF, _REFS, _SECTION, _chunks, _ex, _grams, query
-from corpusloom.plans import registry
+from corpusloom.plans import model, registry, survey, universals
+from corpusloom.plans.model import RuleModel
 from corpusloom.session import table
 from corpusloom.sources import readers, sinks
 
@@ -333,3 +334,128 @@ def coding_summary_round_trip(spark, d):
     kinds = ", ".join(f"{n} {'double' if n == 'confidence' else 'string'}" for n in ("feature_id", "language", "label", "value", "confidence", "verdict", "label_reasoning", "answer"))
     back = spark.read.schema(kinds).csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="\u0000")
     return back.select("feature_id", F.coalesce("language", F.lit("")).alias("language"), "label", "value", "confidence", "verdict", F.md5(F.trim(F.coalesce("label_reasoning", F.lit("")))).alias("reasoning_md5"))
+
+
+# ---- samples and distributions --------------------------------------------------------------------------------------
+
+
+@query(f"""{_BASE}, t AS (SELECT lang, tag, count(*) AS cnt, min(ord * 1000 + i) AS first FROM tok WHERE contains(lower(translation), 'young') GROUP BY lang, tag)
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, first) AS rank, tag, cnt FROM t QUALIFY rank <= 12""")
+def translation_tags(spark, d):
+    return tools.translation_tags(_ex(spark, d), "young")
+
+
+@query(f"""{_BASE}, {_grams(2)}, {base._frequent(40)}, o AS (SELECT g.lang, g.gram, e.sec, min(g.ord) AS first FROM grams g JOIN freq f ON f.lang = g.lang AND f.gram = g.gram JOIN ex e ON e.ord = g.ord GROUP BY ALL)
+ SELECT lang, gram, row_number() OVER (PARTITION BY lang, gram ORDER BY first) AS rank, sec FROM o QUALIFY rank <= 5""")
+def bigram_sections(spark, d):
+    return stats.ngram_sections(_ex(spark, d))
+
+
+@query(f"""{_BASE}, {base._MORPH}, g AS (SELECT h.*, row_number() OVER (PARTITION BY h.lang ORDER BY h.ord, h.w, h.m) AS rank FROM hit h QUALIFY rank <= 6)
+ SELECT g.lang, g.rank, g.ord, wd.word, wd.gl AS gloss_word, substr(ex.translation, 1, 55) AS translation FROM g JOIN wd ON wd.ord = g.ord AND wd.w = g.w JOIN ex ON ex.ord = g.ord""")
+def slot_samples(spark, d):
+    return tools.slot_samples(_ex(spark, d), "PST")
+
+
+@query(f"WITH {base._CLAIMS} SELECT graph_id, seq, 'C' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS claim_id FROM (SELECT graph_id, seq, row_number() OVER (PARTITION BY graph_id ORDER BY seq) AS n FROM cl)")
+def claim_numbers(spark, d):
+    return evidence.claim_ids(base._claims(spark, d)).select("graph_id", "seq", "claim_id")
+
+
+base.ORACLES["evidence_summary"] = f"""WITH {base._CONFIDENCE}, f AS (SELECT graph_id, ns, nc, n_contradictions, CASE WHEN ns = 0 AND nc = 0 THEN 'Unclear' WHEN n_contradictions > 0 AND ta > 0.7 THEN 'Partial' WHEN raw >= 0.75 THEN 'Yes' WHEN raw <= 0.3 THEN 'No' WHEN raw BETWEEN 0.45 AND 0.6 THEN 'Unclear' ELSE 'Partial' END AS verdict,
+ round(CASE WHEN ns = 0 AND nc = 0 THEN 0 WHEN n_contradictions > 0 AND ta > 0.7 THEN least(0.6, raw) WHEN raw >= 0.75 THEN raw WHEN raw <= 0.3 THEN 1 - raw WHEN raw BETWEEN 0.45 AND 0.6 THEN 0.4 ELSE raw END, 4) AS confidence FROM r),
+ n AS (SELECT graph_id, count(*) AS n, count(*) FILTER (WHERE supports IS NULL) AS neutral FROM cl GROUP BY graph_id),
+ k AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY seq) AS no FROM cl), c AS (SELECT graph_id, seq, 'C' || CASE WHEN no < 1000 THEN lpad(no::VARCHAR, 3, '0') ELSE no::VARCHAR END AS claim_id, claim_type, text, source, confidence, supports, example_id FROM k)
+ SELECT f.*, n.n, n.neutral, c.seq, c.claim_id, to_json({{'id': c.claim_id, 'type': c.claim_type, 'text': c.text, 'source': c.source, 'confidence': round(c.confidence, 3), 'supports': c.supports, 'igt_examples': [c.example_id, 'chunk_' || (c.seq % 7)]}})::VARCHAR AS claim FROM c JOIN f USING (graph_id) JOIN n USING (graph_id)"""
+
+_CLAIM_PARTS = " UNION ALL ".join(f"SELECT lang, srank, section, subsection, {j} AS p, unnest(range(len(cs))) AS i, trim(unnest(cs)) AS claim FROM (SELECT lang, rank AS srank, section, subsection, regexp_extract_all(full_text, '{p}') AS cs FROM found WHERE rank <= 3)" for j, p in enumerate(base.CLAIM_PATTERNS))
+base.ORACLES["author_claims"] = f"""WITH {_SECTION}, {search_sql('negation', 8)}, c AS ({_CLAIM_PARTS})
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY srank, p, i) AS rank, '[' || section || ' / ' || subsection || '] ' || claim AS claim FROM c WHERE length(claim) > 30 AND NOT starts_with(claim, '\\') AND NOT contains(claim, '%') QUALIFY rank <= 25"""
+base.ORACLES["xref_2hop_terms"] = f"""WITH {_SECTION}, {_REFS}, {base._LINKS}, e AS (SELECT DISTINCT rf.lang, rf.section_id AS src, coalesce(exact, near) AS dst FROM rf JOIN nr ON nr.lang = rf.lang AND nr.ref = rf.ref), {search_sql('tense and aspect', 3)},
+ h0 AS (SELECT lang, section_id AS id FROM found), h1 AS (SELECT DISTINCT e.lang, dst AS id FROM h0 JOIN e ON e.lang = h0.lang AND e.src = h0.id WHERE (e.lang, dst) NOT IN (SELECT (lang, id) FROM h0)),
+ h2 AS (SELECT DISTINCT e.lang, dst AS id FROM h1 JOIN e ON e.lang = h1.lang AND e.src = h1.id WHERE (e.lang, dst) NOT IN (SELECT (lang, id) FROM h0) AND (e.lang, dst) NOT IN (SELECT (lang, id) FROM h1))
+ SELECT lang, id, 0 AS hop FROM h0 UNION ALL SELECT lang, id, 1 FROM h1 UNION ALL SELECT lang, id, 2 FROM h2"""
+
+
+# ---- rows that a model answers, with the deterministic stand-in ------------------------------------------------------
+
+
+def _model_of(rules: list[tuple[str, str]], otherwise: str = "{}"):
+    return lambda: RuleModel(rules, otherwise)
+
+
+@query("""WITH r AS (SELECT coalesce(translation, '') AS p, CASE WHEN contains(p, 'young') THEN '{"label": "1"}' WHEN contains(p, 'river') THEN 'no idea' ELSE '{}' END AS a FROM igt) SELECT count(*) AS calls, sum(length(p))::BIGINT AS prompt_chars, sum(length(a))::BIGINT AS answer_chars FROM r""")
+def model_usage(spark, d):
+    asked = table(spark, d, "igt").select("ord", F.coalesce("translation", F.lit("")).alias("prompt"))
+    return model.usage(model.answers(asked, _model_of([("young", '{"label": "1"}'), ("river", "no idea")]), "label"))
+
+
+@query(f"""WITH {base._CLAIMS}, p AS (SELECT a.graph_id, a.seq AS sa, b.seq AS sb, a.source || chr(10) || a.text || chr(10) || b.source || chr(10) || b.text AS q, a.source AS ca, b.source AS cb FROM cl a JOIN cl b ON a.graph_id = b.graph_id AND a.seq < b.seq AND a.supports <> b.supports WHERE a.confidence >= 0.6 AND b.confidence >= 0.6),
+ m AS (SELECT graph_id, sa, sb, CASE WHEN ca = 'click' THEN 0.35 END AS na, CASE WHEN ca = 'click' THEN 0.8 WHEN ca = 'error' THEN 0.1 END AS nb FROM p), n AS (SELECT graph_id, sa AS seq, sa, sb, na AS v FROM m WHERE na IS NOT NULL UNION ALL SELECT graph_id, sb, sa, sb, nb FROM m WHERE nb IS NOT NULL),
+ l AS (SELECT graph_id, seq, v FROM n QUALIFY row_number() OVER (PARTITION BY graph_id, seq ORDER BY sa DESC, sb DESC) = 1) SELECT graph_id, seq, coalesce(v, confidence) AS confidence FROM cl LEFT JOIN l USING (graph_id, seq)""")
+def contradictions_by_model(spark, d):
+    """Contradictions put to a model that revises confidences by the earlier claim's source."""
+    c = base._claims(spark, d).withColumn("source", F.concat(F.lit("<"), "source", F.lit(">")))
+    first = [("1\n<click>", '{"resolved": true, "revised_confidence_a": 0.35, "revised_confidence_b": 0.8}'), ("1\n<error>", '{"resolved": true, "resolution": "older", "revised_confidence_b": 0.1}'), ("1\n<view>", '{"resolved": false, "revised_confidence_b": 0.1}')]
+    asked = c.withColumn("graph_id", F.concat("graph_id", F.lit("#1")))
+    got = evidence.revised(asked, model.resolve_contradictions(asked, _model_of(first)))
+    return got.select(F.substring_index("graph_id", "#", 1).alias("graph_id"), "seq", "confidence")
+
+
+_UNIVERSAL_RULES = [
+    ("UNIVERSAL PLAN", '{"language_strategies": {"ASIA": {"target_sections": ["Tense", "Aspect"], "diagnostic_tags": ["PST"], "search_focus": "endings"}, "EUROPE": {"search_focus": ""}}}'),
+    ("UNIVERSAL EXTRACT\nASIA", '{"antecedent_holds": true, "consequent_holds": false, "confidence": 0.9}'),
+    ("UNIVERSAL EXTRACT\nEUROPE", '{"antecedent_holds": "Yes", "consequent_holds": true, "confidence": 0.8, "notes": "seen"}'),
+    ("UNIVERSAL EXTRACT\nAFRICA", '```json\n{"antecedent_holds": false, "confidence": 0.7}\n```'),
+    ("UNIVERSAL EXTRACT\nAMERICA", '{"antecedent_holds": true, "consequent_holds": true, "confidence": "0.66"}'),
+    ("UNIVERSAL EXTRACT", "no object"),
+    ("UNIVERSAL SYNTHESIS", '{"verdict": "open", "language_assessments": {"EUROPE": {"assessment": "irrelevant", "reason": "other topic"}, "MIDDLE EAST": {"assessment": "VALID_SUPPORT"}}}'),
+    ("person", "So the antecedent does not hold here."),
+]
+_UNIVERSAL_LABELS = f"""{_UNIVERSALS}, l AS (SELECT id AS uid, logic, statement, r_name AS language FROM u CROSS JOIN region),
+ lb AS (SELECT uid, language, CASE language WHEN 'ASIA' THEN CASE WHEN logic = 'implication' AND contains(statement, 'person') THEN 'ANTECEDENT_NA' ELSE 'VALID_VIOLATION' END WHEN 'EUROPE' THEN 'IRRELEVANT'
+  WHEN 'AFRICA' THEN CASE WHEN logic = 'implication' THEN 'ANTECEDENT_NA' ELSE 'INSUFFICIENT' END WHEN 'AMERICA' THEN 'VALID_SUPPORT' ELSE 'INSUFFICIENT' END AS label FROM l)"""
+
+
+def _universals_run(spark, d):
+    u = readers.universals_defaults(_universals(spark, d))
+    langs = table(spark, d, "region").select(F.col("r_name").alias("language"), F.concat(F.lit("Contents of "), "r_name").alias("digest"))
+    return universals.run(u, langs, _model_of(_UNIVERSAL_RULES, "It holds."))
+
+
+@query(f"WITH {_UNIVERSAL_LABELS} SELECT uid, language, label FROM lb")
+def universals_pipeline(spark, d):
+    return _universals_run(spark, d)[0].select("uid", "language", "label")
+
+
+@query(f"WITH {_UNIVERSAL_LABELS} SELECT uid, CASE WHEN count(*) FILTER (WHERE label = 'VALID_VIOLATION') > 0 THEN 'FALSE' ELSE 'TRUE' END AS verdict, count(*) FILTER (WHERE label = 'ANTECEDENT_NA') AS n_antecedent_na FROM lb GROUP BY uid")
+def universals_verdicts(spark, d):
+    return _universals_run(spark, d)[1].select("uid", "verdict", "n_antecedent_na")
+
+
+@query(f"""WITH {_UNIVERSALS} SELECT id, r_name AS language, CASE WHEN r_name = 'ASIA' THEN 'Tense|Aspect' ELSE '' END AS target_sections, CASE WHEN r_name = 'ASIA' THEN 'PST' ELSE '' END AS diagnostic_tags, CASE WHEN r_name = 'ASIA' THEN 'endings' ELSE 'Search for evidence relating to: ' || substr(statement, 1, 100) END AS search_focus FROM u CROSS JOIN region""")
+def universals_plan(spark, d):
+    langs = table(spark, d, "region").select(F.col("r_name").alias("language"), F.lit(None).cast("string").alias("digest"))
+    p = universals.plan(readers.universals_defaults(_universals(spark, d)), langs, _model_of(_UNIVERSAL_RULES))
+    return p.select("id", "language", F.array_join("target_sections", "|").alias("target_sections"), F.array_join("diagnostic_tags", "|").alias("diagnostic_tags"), "search_focus")
+
+
+@query(f"""WITH {base._ANSWERS}, a AS (SELECT DISTINCT question, language FROM an), s AS (SELECT question, language, CASE WHEN question = 'PST' AND language = (SELECT min(language) FROM an WHERE question = 'PST') THEN 'suffix' WHEN question = 'PST' THEN 'Unclear' END AS t FROM a),
+ v AS (SELECT question, coalesce(value, substr(answer, 1, 30)) AS type_label, language FROM an WHERE question <> 'PST') SELECT question, t AS type_label, language FROM s WHERE t IS NOT NULL UNION ALL SELECT question, type_label, language FROM v""")
+def survey_types(spark, d):
+    """Languages of each question sorted into types; only one question gets types from the model."""
+    a = base._answers(spark, d)
+    one = a.filter("question = 'PST'").agg(F.min("language")).first()[0] or ""
+    rules_ = [("SYNTHESIS\nPST\n", json.dumps({"types": [{"label": "suffix", "languages": [one, "Nowhere"]}, {"label": "", "languages": ["x"]}]}))]
+    return survey.types(a, _model_of(rules_, "cannot say"))
+
+
+@query("SELECT n_name || '?' AS question, r_name AS language, CASE WHEN r_name = 'ASIA' THEN 'Yes' ELSE 'No' END AS value FROM nation CROSS JOIN region WHERE n_nationkey < 3")
+def survey_resumed(spark, d):
+    """Questions over languages in two runs, the second of which asks only what the first left."""
+    q = table(spark, d, "nation").filter("n_nationkey < 3").select(F.concat("n_name", F.lit("?")).alias("question"))
+    langs = [r[0] for r in table(spark, d, "region").orderBy("r_regionkey").select("r_name").collect()]
+    path = _fresh(spark, "survey")
+    one = lambda question, lang: ("Yes" if lang == "ASIA" else "No", question + lang, 0.9)
+    survey.investigate(spark, q.limit(1), langs[:2], one, path)
+    return survey.investigate(spark, q, langs, one, path, skip_existing=True).select("question", "language", "value")

@@ -60,6 +60,13 @@ def search_translations(ex: DataFrame, query: str, k: int = 15) -> DataFrame:
     return first_rows(ex.filter(hit), k).join(n, "lang").select("lang", "rank", "ord", "example_id", shown.alias("shown"), "n_hits", F.round(F.col("n_hits") / F.col("n_examples"), 6).alias("share"))
 
 
+def translation_tags(ex: DataFrame, query: str, k: int = 12) -> DataFrame:
+    """The most frequent tags of the examples whose translation holds the query."""
+    hit = tokens(ex.filter(F.contains(F.lower("translation"), F.lit(query.strip().lower()))))
+    t = hit.groupBy("lang", "tag").agg(F.count("*").alias("cnt"), F.min(place_in_corpus("i")).alias("first"))
+    return top_per(t, ["lang"], [F.desc("cnt"), F.asc("first")], k).select("lang", "rank", "tag", "cnt")
+
+
 def has_run(tags: list[str]) -> Column:
     """Whether the (upper-case) tags stand side by side in this order; the empty run is everywhere."""
     want = F.array(*[F.lit(t.upper()) for t in tags]) if tags else F.array().cast("array<string>")
@@ -111,16 +118,16 @@ def _words(col: str) -> Column:
 
 def morphs(ex: DataFrame, tag: str) -> DataFrame:
     """Morphs of examples that hold the tag, aligned with their glosses: words by place (the longer line is cut), parts
-    by place where a word has as many on both lines. lang, ord, w, m, n (parts of the word), form, word, is_tag."""
+    by place where a word has as many on both lines. lang, ord, w, m, n (parts of the word), form, word, gloss_word, is_tag."""
     up = tag.upper()
     a, b = _words("morpheme"), _words("gloss")
     k = F.least(F.size(a), F.size(b))
     rows = ex.filter(F.array_contains("tags", up)).select("lang", "ord", F.when(k > 0, F.arrays_zip(F.slice(a, 1, k).alias("a"), F.slice(b, 1, k).alias("b"))).alias("ws"))
-    w = rows.select("lang", "ord", F.posexplode("ws").alias("w", "p")).select("lang", "ord", "w", F.col("p.a").alias("word"), F.split("p.a", "[-=]").alias("ms"), F.split("p.b", "[-=]").alias("gs"))
+    w = rows.select("lang", "ord", F.posexplode("ws").alias("w", "p")).select("lang", "ord", "w", F.col("p.a").alias("word"), F.col("p.b").alias("gloss_word"), F.split("p.a", "[-=]").alias("ms"), F.split("p.b", "[-=]").alias("gs"))
     same = w.filter(F.size("ms") == F.size("gs"))
-    m = same.select("lang", "ord", "w", "word", F.size("ms").alias("n"), F.posexplode(F.arrays_zip("ms", "gs")).alias("m", "x"))
+    m = same.select("lang", "ord", "w", "word", "gloss_word", F.size("ms").alias("n"), F.posexplode(F.arrays_zip("ms", "gs")).alias("m", "x"))
     is_tag = (F.col("x.gs") == up) | F.startswith(F.col("x.gs"), F.lit(up + "."))
-    return m.select("lang", "ord", "w", "m", "n", "word", F.col("x.ms").alias("form"), is_tag.alias("is_tag"))
+    return m.select("lang", "ord", "w", "m", "n", "word", "gloss_word", F.col("x.ms").alias("form"), is_tag.alias("is_tag"))
 
 
 def surface_forms(ex: DataFrame, tag: str, k: int = 8) -> DataFrame:
@@ -138,6 +145,13 @@ def morpheme_positions(ex: DataFrame, tag: str) -> DataFrame:
     return c.select("lang", *names, "total", F.coalesce(*[F.when(F.col(s) == top, s) for s in names]).alias("dominant"))
 
 
+def slot_samples(ex: DataFrame, tag: str, k: int = 6) -> DataFrame:
+    """The first words that hold the tag's morph, with their gloss and the beginning of the translation."""
+    hit = morphs(ex, tag).filter("is_tag")
+    first = top_per(hit, ["lang"], [F.asc("ord"), F.asc("w"), F.asc("m")], k)
+    return first.join(ex.select("ord", F.substring("translation", 1, 55).alias("translation")), "ord").select("lang", "rank", "ord", "word", "gloss_word", "translation")
+
+
 def semantic_domains(ex: DataFrame, tag: str) -> DataFrame:
     """Translations of the tag's examples with a keyword of each domain; domains without any are left out."""
     tagged = ex.filter(F.array_contains("tags", tag.upper())).select("lang", F.lower("translation").alias("tr"))

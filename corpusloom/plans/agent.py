@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.functions.abbrev import for_phenomenon
 from corpusloom.operators import evidence, verdicts
+from corpusloom.operators.constants import CONTRADICTION_FROM
 from corpusloom.operators.tools import plan_tags
-from corpusloom.plans.model import LanguageModel, Usage, ask
+from corpusloom.plans.model import BUDGETS, LanguageModel, Usage, ask
 from corpusloom.plans.registry import TOOLS, Corpus, call
 from corpusloom.schemas import CLAIM
 
@@ -31,6 +32,8 @@ class Answer:
     claims: list[dict] = field(default_factory=list)
     steps: list[str] = field(default_factory=list)
     usage: Usage = field(default_factory=Usage)
+    #: key_evidence (a list), linguistic_definition, structural_description.
+    details: dict = field(default_factory=dict)
 
 
 def shown(df: DataFrame) -> str:
@@ -58,6 +61,44 @@ def judged(spark: SparkSession, graph: list[dict]) -> tuple[str, float]:
     return r["verdict"], r["confidence"]
 
 
+DETAILS = ("key_evidence", "linguistic_definition", "structural_description")
+
+
+def concluded(model: LanguageModel, question: str, graph: list[dict], usage: Usage) -> dict:
+    """The answer with its details. Without an answer the model is asked again for prose; details that are missing then
+    are asked for by themselves, once."""
+    told = "\n".join(f"- [{c['claim_type']}] {c['confidence']:.2f} | {c['text']} ({c['source']})" for c in graph)[:3000]
+    said = ask(model, "answer", f"ANSWER\nQuestion: {question}\n{told}", usage)
+    text = str(said.get("answer") or "").strip()
+    if not text:
+        prompt = f"PROSE\nQuestion: {question}\n{told}"
+        try:
+            text = model.generate(prompt, BUDGETS["prose"], False).strip()
+        except Exception:  # noqa: BLE001 - as in ask
+            text = ""
+        usage.add(prompt, text)
+    got = {k: said.get(k) or ([] if k == "key_evidence" else "") for k in DETAILS}
+    missing = [k for k in DETAILS if not got[k]]
+    if missing:
+        found = ask(model, "rescue", f"RESCUE\nQuestion: {question}\n{text[:800]}\n{told}", usage)
+        got |= {k: found[k] for k in missing if found.get(k)}
+    return {"answer": text, **got}
+
+
+def resolved(spark: SparkSession, model: LanguageModel, graph: list[dict], usage: Usage) -> None:
+    """Puts the contradictions of a question's claims to the model; confidences that it revises are changed in place."""
+    sides = [(c["supports"], c["confidence"] >= CONTRADICTION_FROM) for c in graph]
+    for i, a in enumerate(graph):
+        for j in range(i + 1, len(graph)):
+            b = graph[j]
+            if all(x[1] and x[0] is not None for x in (sides[i], sides[j])) and sides[i][0] != sides[j][0]:
+                got = ask(model, "contradiction", f"CONTRADICTION\n{a['graph_id']}\n{a['source']}\n{a['text']}\n{b['source']}\n{b['text']}", usage)
+                if got.get("resolved"):
+                    for c, k in ((a, "revised_confidence_a"), (b, "revised_confidence_b")):
+                        if isinstance(got.get(k), (int, float)):
+                            c["confidence"] = float(got[k])
+
+
 def answer(spark: SparkSession, corpus: Corpus, model: LanguageModel, question: str, iterations: int = 8, threshold: float = 0.75) -> Answer:
     """Plan, upfront reads, then tools chosen by the model until it concludes, the evidence suffices or the iterations end."""
     usage, graph, steps = Usage(), [], []
@@ -95,10 +136,11 @@ def answer(spark: SparkSession, corpus: Corpus, model: LanguageModel, question:
                 break
             act = {"action": "search_text", "args": {"query": question}}
         step(act["action"], act.get("args") or {})
+    resolved(spark, model, graph, usage)
     verdict, conf = judged(spark, graph)
-    said = ask(model, "answer", f"ANSWER\nQuestion: {question}\n" + "\n".join(c["text"] for c in graph), usage)
+    said = concluded(model, question, graph, usage)
     audit = ask(model, "audit", f"AUDIT\n{question}\n{said.get('answer', '')}", usage)
-    return Answer(question, str(audit.get("revised_value") or verdict), float(audit.get("revised_confidence") or conf), str(said.get("answer", "")), graph, steps, usage)
+    return Answer(question, str(audit.get("revised_value") or verdict), float(audit.get("revised_confidence") or conf), said["answer"], graph, steps, usage, {k: said[k] for k in DETAILS})
 
 
 def over_languages(spark: SparkSession, corpus: Corpus, model: LanguageModel, questions: list[str], languages: list[str], done: set[tuple[str, str]] = frozenset(), **kw) -> DataFrame:
@@ -112,7 +154,7 @@ def over_languages(spark: SparkSession, corpus: Corpus, model: LanguageModel, qu
     return spark.createDataFrame(rows, "question string, ord int, language string, value string, answer string, confidence double")
 
 
-def test_universals(spark: SparkSession, results: DataFrame, universals: DataFrame) -> tuple[DataFrame, DataFrame]:
+def universal_results(results: DataFrame, universals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(labels, verdicts) of language results: uid, language, antecedent, consequent (texts), confidence, raw_answer,
     assessment; universals: id, logic."""
     from pyspark.sql import functions as F

@@ -14,15 +14,16 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from corpusloom.functions.jsonrepair import parse_object
+from corpusloom.functions.jsonrepair import parse_object, repaired
 from corpusloom.session import cut
 
 #: Tokens per purpose, and what stands in when the model fails.
 BUDGETS = {
     "domains": 6144, "tags": 512, "feature_plan": 1536, "query_plan": 1024, "action": 512, "claims": 1024, "contradiction": 512, "conclusion": 3000,
     "answer": 4096, "audit": 768, "label": 256, "usage": 800, "structure": 900, "global_plan": 2048, "synthesis": 2048, "universal_plan": 2048,
-    "universal_extract": 512, "universal_synthesis": 1536, "code": 8,
+    "universal_extract": 512, "universal_synthesis": 1536, "code": 8, "prose": 1000, "rescue": 1024,
 }
 DEFAULTS: dict[str, dict] = {"domains": {"domains": []}, "claims": {"claims": []}, "action": {"action": "conclude"}, "label": {"label": "?"}, "audit": {"verdict": "upheld"}, "code": {"code": "?"}}
 
@@ -110,3 +111,25 @@ def answers(rows: DataFrame, factory: Callable[[], LanguageModel], purpose: str,
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
     return cut(rows.mapInPandas(run, schema + ", answer string"))
+
+
+def usage(answered: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """calls, prompt_chars and answer_chars of answered rows, in one row."""
+    return answered.agg(F.count("*").alias("calls"), F.sum(F.char_length(prompt)).alias("prompt_chars"), F.sum(F.char_length("answer")).alias("answer_chars"))
+
+
+def resolve_contradictions(claims: DataFrame, factory: Callable[[], LanguageModel]) -> DataFrame:
+    """graph_id, seq_a, seq_b, resolved, resolution, confidence_a, confidence_b: each contradicting pair of claims is put to
+    the model, which may resolve it and revise the confidences (evidence.revised applies them)."""
+    from corpusloom.operators import evidence
+
+    side = lambda s: claims.select("graph_id", F.col("seq").alias(f"seq_{s}"), F.col("text").alias(f"text_{s}"), F.col("source").alias(f"source_{s}"))
+    pairs = evidence.contradictions(claims).select("graph_id", "seq_a", "seq_b").join(side("a"), ["graph_id", "seq_a"]).join(side("b"), ["graph_id", "seq_b"])
+    asked = pairs.withColumn("prompt", F.concat_ws("\n", F.lit("CONTRADICTION"), "graph_id", "source_a", "text_a", "source_b", "text_b"))
+    got = answers(asked.select("graph_id", "seq_a", "seq_b", "prompt"), factory, "contradiction").withColumn("o", repaired(F.col("answer")))
+    value = lambda k: F.get_json_object("o", f"$.{k}")
+    number = lambda k: F.expr(f"try_cast(get_json_object(o, '$.{k}') AS double)")
+    return got.select(
+        "graph_id", "seq_a", "seq_b", F.coalesce(value("resolved") == "true", F.lit(False)).alias("resolved"), F.coalesce(value("resolution"), F.lit("")).alias("resolution"),
+        number("revised_confidence_a").alias("confidence_a"), number("revised_confidence_b").alias("confidence_b"),
+    )

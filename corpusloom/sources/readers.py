@@ -97,12 +97,16 @@ def abbreviations(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("tag").agg(F.min("ord").cast("long").alias("ord"), F.max_by("meaning", "ord").alias("meaning")).select("ord", "tag", "meaning")
 
 
-def universals(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.schema(UNIVERSAL).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=True)
-    clean = d.select(*[F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "^\\ufeff", "")).alias(c) for c in d.columns]).filter("id <> ''")
+def universals_defaults(rows: DataFrame) -> DataFrame:
+    """Trimmed texts; rows without id are dropped, logic and domain have defaults."""
+    clean = rows.select(*[F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "^\\ufeff", "")).alias(c) for c in rows.columns]).filter("id <> ''")
     return clean.withColumn("logic", F.when(F.col("logic") == "", "implication").otherwise(F.lower("logic"))).withColumn("domain", F.when(F.col("domain") == "", "UNKNOWN").otherwise(F.col("domain")))
 
 
+def universals(spark: SparkSession, path: str) -> DataFrame:
+    return universals_defaults(spark.read.schema(UNIVERSAL).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=True))
+
+
 def coding_features(spark: SparkSession, path: str, distinct: bool = True) -> DataFrame:
     d = spark.read.schema(CODING).csv(path, header=True, multiLine=True, quote='"', escape='"')
     return d.dropDuplicates(["ID"]) if distinct else d

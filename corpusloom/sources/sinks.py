@@ -75,14 +75,20 @@ ORDER = ["VALID_VIOLATION", "VALID_SUPPORT", "INSUFFICIENT", "ANTECEDENT_NA", "I
 
 
 def verdict_report(verdicts: DataFrame, labels: DataFrame) -> str:
-    """Markdown of universal verdicts: a summary table, then the languages of each."""
+    """Markdown of universal verdicts: a summary table, then for each its languages, by assessment, with what was found,
+    the evidence of both sides, notes and the reviewer's reason."""
     out = ["| Universal | Verdict | Support | Violation | N/A | Confidence |", "|---|---|---|---|---|---|"]
     vs = _bounded(verdicts.orderBy("uid"))
     out += [f"| {v['uid']} | {v['verdict']} | {v['n_valid_support']} | {v['n_valid_violation']} | {v['n_antecedent_na']} | {v['mean_confidence']:.2f} |" for v in vs]
     by: dict[str, list[dict]] = {}
     for r in _bounded(labels):
         by.setdefault(r["uid"], []).append(r)
+    told = {True: "holds", False: "does not hold", None: "unknown"}
     for v in vs:
         out += ["", f"### {v['uid']}: {v['verdict']}", ""]
-        out += [f"- {r['label']}: {r['language']}" for r in sorted(by.get(v["uid"], []), key=lambda r: (ORDER.index(r["label"]), r["language"]))]
+        for r in sorted(by.get(v["uid"], []), key=lambda r: (ORDER.index(r["label"]), r["language"])):
+            out.append(f"- {r['label']}: {r['language']}")
+            if r.get("antecedent_evidence") or r.get("consequent_evidence"):
+                out += [f"  - {side} {told[r.get(side + '_holds')]}: {r.get(side + '_evidence') or '-'}" for side in ("antecedent", "consequent")]
+            out += [f"  - {k}: {r[k]}" for k in ("notes", "reason") if r.get(k)]
     return "\n".join(out)

@@ -47,3 +47,37 @@ def test_baseline(spark):
     langs = spark.createDataFrame([(0, "A"), (1, "B")], "ord int, language string")
     got = coding.zero_resource(f, langs, lambda: RuleModel([("A\nq\n", "1"), ("B", "code 7")], "?")).orderBy("language", "gb_id").collect()
     assert [x["baseline_code"] for x in got] == ["1", "?", "?", "?"]
+
+
+MANY = RuleModel([
+    ("GLOBAL PLAN", '{"questions": ["Is past marked?", {"question": "Is there a dual number?"}]}'),
+    ("UNIVERSAL PLAN", '{"A": {"search_focus": "endings"}}'),
+    ("UNIVERSAL EXTRACT\nA", '{"antecedent_holds": true, "consequent_holds": false, "confidence": 0.9, "antecedent_evidence": "ex. 1", "notes": "clear"}'),
+    ("UNIVERSAL EXTRACT\nB", '{"antecedent_holds": true, "consequent_holds": true, "confidence": 0.9}'),
+    ("UNIVERSAL SYNTHESIS", '{"language_assessments": {"B": {"assessment": "IRRELEVANT", "reason": "off topic"}}}'),
+    ("SYNTHESIS\nIs past marked?", '{"types": [{"label": "suffix", "languages": ["A"]}]}'),
+    *MODEL.rules,
+])
+
+
+def test_survey_universals_and_baseline(spark, tmp_path):
+    igt, ab, f = files(tmp_path)
+    config = tmp_path / "c.json"
+    config.write_text(json.dumps({"languages": [{"name": n, "igt": igt, "igt_only": True} for n in "AB"], "planning": {"n_questions": 2}}))
+    out = str(tmp_path / "s")
+    main(["survey", "--config", str(config), "--output", out, "--max-iterations", "1"], MANY)
+    got = {(r["question"], r["value"]): r["languages"] for r in json.loads((tmp_path / "s" / "report.json").read_text())}
+    assert got[("Is past marked?", "suffix")] == "A" and got[("Is past marked?", "Unclear")] == "B" and got[("Is there a dual number?", "Yes")] == "A, B"
+    main(["survey", "--config", str(config), "--output", out, "--report-only"], MANY)
+    main(["survey", "--config", str(config), "--output", out, "--skip-existing", "--no-report"], RuleModel([("GLOBAL PLAN", MANY.rules[0][1])]))
+    assert spark.read.parquet(out + "/answers").count() == 4
+    u = tmp_path / "u.csv"
+    u.write_text('id,statement,antecedent,consequent,logic,domain,source\nU1,"If past, then so",past,so,,Tense,s\nU2,x,y,z,absolute,Case,s\n')
+    main(["universals", "--config", str(config), "--universals", str(u), "--domain", "tense", "--output", out, "--max-iterations", "1"], MANY)
+    report = (tmp_path / "s" / "universals.md").read_text()
+    assert "| U1 | FALSE | 0 | 1 | 0 |" in report and "- VALID_VIOLATION: A\n  - antecedent holds: ex. 1" in report and "reason: off topic" in report
+    langs = tmp_path / "l.txt"
+    langs.write_text("A\n# no\nB\n")
+    main(["baseline", "--languages", str(langs), "--features", f, "--output", out], RuleModel([("A\nIs past", "1")], "9"))
+    rows = spark.read.csv(out + "/baseline.csv", header=True).collect()
+    assert sorted((r["language"], r["gb_id"], r["baseline_code"]) for r in rows) == [("A", "F1", "1"), ("A", "F2", "?"), ("B", "F1", "?"), ("B", "F2", "?")]
