@@ -677,8 +677,7 @@ def unclear_bucket(spark, d):
 @query("""WITH l AS (SELECT CASE WHEN regexp_extract(coalesce(text, ''), '([0-9?])', 1) = '' THEN '?' ELSE regexp_extract(text, '([0-9?])', 1) END AS label FROM documents)
  SELECT label, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM documents), 2) AS share FROM l GROUP BY label""")
 def label_histogram(spark, d):
-    docs = table(spark, d, "documents")
-    return verdicts.label_histogram(docs.select(verdicts.normal_label(F.col("text")).alias("label")), docs.count())
+    return verdicts.label_histogram(table(spark, d, "documents").select(verdicts.normal_label(F.col("text")).alias("label")))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_extract(coalesce(text, ''), '([0-9?])', 1) = '' THEN '?' ELSE regexp_extract(text, '([0-9?])', 1) END AS label FROM documents")

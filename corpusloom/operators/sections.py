@@ -78,13 +78,19 @@ def find(sections: DataFrame, names: list[str]) -> DataFrame:
 
 def resolved_refs(sections: DataFrame) -> DataFrame:
     """lang, src, ref, dst: each reference with the section it names: the last one with that label, else the first
-    section whose label contains it. Labels are reduced to distinct ones before the containment join."""
+    section whose label contains it. Labels are reduced to distinct ones; the containment
+    join is an equi-join on their parts of the lengths that references have."""
     e = sections.select("lang", F.col("section_id").alias("src"), F.explode("outgoing_refs").alias("ref"))
     labels = sections.filter("label <> ''").groupBy("lang", "label").agg(
         F.max_by("section_id", "first").alias("last_id"), F.min(F.struct("first", "section_id")).alias("f")
     )
     asked = e.select("lang", "ref").distinct()
-    near = asked.join(labels, "lang").filter(F.contains("label", F.col("ref")))
+    # a label holds a reference where one of its parts of that length equals it
+    lengths = asked.select("lang", F.length("ref").alias("n")).distinct()
+    parts = labels.join(lengths, "lang").filter(F.length("label") >= F.col("n"))
+    at = F.explode(F.sequence(F.lit(1), F.length("label") - F.col("n") + 1))
+    parts = parts.select("*", at.alias("at")).withColumn("ref", F.substr("label", F.col("at"), F.col("n")))
+    near = asked.join(parts, ["lang", "ref"])
     best = near.groupBy("lang", "ref").agg(
         F.max(F.when(F.col("label") == F.col("ref"), F.col("last_id"))).alias("exact"), F.min("f").alias("f")
     )

@@ -51,10 +51,11 @@ def steady(x: Column) -> Column:
 
 
 def place_in_corpus(*parts: str) -> Column:
-    """Order of first appearance: example, then places within it."""
+    """Order of first appearance: example, then places within it: up to a million tags or words a line, a thousand parts a
+    word, and 2^33 examples."""
     out = F.col("ord")
-    for p in parts:
-        out = out * 1000 + F.col(p)
+    for p, most in zip(parts, (1 << 20, 1 << 10)):
+        out = out * most + F.col(p)
     return out
 
 

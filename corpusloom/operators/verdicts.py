@@ -91,9 +91,11 @@ def with_unplaced(placed: DataFrame, results: DataFrame, label: str = "Unclear")
     return placed.select("question", "type_label", "language").unionByName(rest.withColumn("type_label", F.lit(label)))
 
 
-def label_histogram(labels: DataFrame, requested: int) -> DataFrame:
-    """label, n, share of all requested features in percent."""
-    return labels.groupBy("label").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") * 100.0 / max(requested, 1), 2))
+def label_histogram(labels: DataFrame, requested: int | None = None) -> DataFrame:
+    """label, n, share of all requested features (by default those labelled) in percent."""
+    n = labels.groupBy("label").agg(F.count("*").alias("n"))
+    of = F.sum("n").over(Window.partitionBy()) if requested is None else F.lit(max(requested, 1))
+    return n.withColumn("share", F.round(F.col("n") * 100.0 / of, 2))
 
 
 def normal_label(answer: Column) -> Column:
