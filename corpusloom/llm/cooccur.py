@@ -141,5 +141,6 @@ def top_partners(pairs: DataFrame, k: int = 8) -> DataFrame:
     both = pairs.select(F.col("item_a").alias("item"), F.col("item_b").alias("partner"), "n_ab", "llr").unionByName(
         pairs.select(F.col("item_b").alias("item"), F.col("item_a").alias("partner"), "n_ab", "llr")
     )
-    w = Window.partitionBy("item").orderBy(F.desc("llr"), F.desc("n_ab"), "partner")
+    # rounded, so that equal ratios are ties whatever the order of their terms
+    w = Window.partitionBy("item").orderBy(F.desc(F.round("llr", 6)), F.desc("n_ab"), "partner")
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -228,3 +228,17 @@ def encode(df: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS, nam
 def token_counts(df: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """key, n_tokens: only the numbers of ids are given out."""
     return _apply(df, key, text, f"{tokenizers}/{name}.tiktoken", "n_tokens int", True)
+
+
+def decode(df: DataFrame, key: str, ids: str, tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """key, text: the text that ids stand for."""
+    path = f"{tokenizers}/{name}.tiktoken"
+
+    def run(batches):
+        enc = encoder(path)
+        for b in batches:
+            texts = [enc.decode_bytes(x or []).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(texts, pa.string())], ["_key", "text"])
+
+    rows = df.select(F.col(key).alias("_key"), F.col(ids).alias("ids"))
+    return rows.mapInArrow(run, f"_key {dict(rows.dtypes)['_key']}, text string").withColumnRenamed("_key", key)
