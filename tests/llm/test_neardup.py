@@ -46,6 +46,39 @@ def test_against_brute_force(spark, num, den):
     assert len(want) > 100 and run(spark, rows, num, den) == want
 
 
+def test_hot_blocks_are_given_back(spark, monkeypatch):
+    """A block over the bound is searched by pairs of its parts, in other tasks, and nothing is lost."""
+    monkeypatch.setattr(neardup, "PART", 40)
+    rnd = random.Random(17)
+    rows = [(i, "hot spot " + " ".join(f"w{rnd.randint(0, 3)}" for _ in range(3)), f"t{rnd.randint(0, 9)}" if i % 3 else None) for i in range(400)]
+    want = brute(rows, 3, 5)
+    assert len(want) > 5000 and run(spark, rows, 3, 5) == want
+
+
+def test_index_drops_pairs_of_nodes(spark):
+    """Clusters of near copies that share a frequent word: nearly all pairs of nodes of different clusters are dropped."""
+    rnd = random.Random(18)
+    rows = []
+    for c in range(60):
+        base = [f"c{c}x{j}" for j in range(24)]
+        for _ in range(10):
+            w = list(base)
+            w[rnd.randrange(24)] = f"v{rnd.randint(0, 999)}"
+            rows.append((len(rows), "hot " + " ".join(w), None))
+    df = spark.createDataFrame([(i, a, b, 0, "z") for i, a, b in rows], SCHEMA)
+    got = neardup.index_report(df, "id", ["a", "b"], 3, 5)
+    assert got["representatives"] == 600 and got["sketches"] >= 60 * 45
+    rnd = np.random.default_rng(19)
+    base = rnd.integers(0, 2**63, (60, 2)).astype(np.uint64)
+    hi = np.repeat(base[:, 0], 10) ^ (np.uint64(1) << rnd.integers(0, 60, 600).astype(np.uint64))
+    lo, key, n = np.repeat(base[:, 1], 10), np.zeros(600, int), np.full(600, 24)
+    a, b = neardup.gray_rank(hi, lo)
+    order = np.lexsort((b, a))
+    tally = {}
+    list(neardup.gray_search(key, hi[order], lo[order], n, 3, 5, tally))
+    assert tally["upper nodes dropped"] > 0.9 * tally["upper nodes"] and tally["upper nodes"] < 0.2 * 600 * 599 / 2
+
+
 def test_empty(spark):
     assert run(spark, [], 3, 5) == set() and run(spark, [(1, None, ""), (2, "", None)], 3, 5) == set()
 
