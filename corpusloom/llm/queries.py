@@ -9,10 +9,15 @@ from corpusloom.session import table
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Every tag with its occurrences, the examples that hold it, and its mark."""
+    """Every tag with its occurrences, the examples that hold it, and its mark: the rows of the first half of the time
+    of loading are counted first, then the others are merged as a change."""
     from corpusloom.llm.termcounts import TermCounts
 
-    return TermCounts(spark).apply(added=table(spark, d, "igt"), terms="gloss_tags").marked().withColumnRenamed("term", "tag")
+    igt = table(spark, d, "igt").select("gloss_tags", "loaded_at")
+    lo, hi = igt.agg(F.min("loaded_at"), F.max("loaded_at")).first()
+    early = F.coalesce(F.col("loaded_at") <= F.lit(lo + (hi - lo) / 2), F.lit(False)) if lo is not None else F.lit(False)
+    store = TermCounts(spark).apply(added=igt.filter(early), terms="gloss_tags").apply(added=igt.filter(~early), terms="gloss_tags")
+    return store.marked().withColumnRenamed("term", "tag")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +44,36 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(_p5_texts(spark, d), ["tbl", "ord"], "text")
 
 
+def p5_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each oversized text put together again from its pieces, less what they repeat: its digest, whether no piece is over
+    the limit and whether each begins at or before the end of the one before."""
+    p = p5_pieces(spark, d)
+    ps = p.groupBy("tbl", "ord").agg(F.array_sort(F.collect_list(F.struct("piece", "begin", "end", "text"))).alias("ps"))
+    new = F.transform("ps", lambda x, i: F.substr(x["text"], F.when(i == 0, 1).otherwise(F.get("ps", i - 1)["end"] - x["begin"] + 1).cast("int")))
+    sound = F.forall("ps", lambda x: (F.char_length(x["text"]) <= 2000) & (F.char_length(x["text"]) == x["end"] - x["begin"]))
+    linked = F.forall(F.transform("ps", lambda x, i: (i == 0) | (x["begin"] <= F.get("ps", i - 1)["end"])), lambda ok: ok)
+    return ps.select("tbl", "ord", F.md5(F.array_join(new, "")).alias("text_md5"), sound.alias("sound"), linked.alias("linked"))
+
+
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same texts written as text files, one after another, and cut as files are, by byte ranges: for each file its
+    characters, the characters of all pieces, what they repeat, and the longest piece."""
+    from corpusloom.llm.splitting import split_files
+    from corpusloom.session import fresh_path
+
+    path = fresh_path(spark, "texts")
+    _p5_texts(spark, d).filter("text <> ''").select("text").write.text(path)
+    ps = split_files(spark, [path])
+    return ps.groupBy("path").agg(F.max("end").alias("chars"), F.sum(F.col("end") - F.col("begin")).alias("in_pieces"), F.count("*").alias("pieces"), F.max(F.char_length("text")).alias("longest")).drop("path")
+
+
+def p6_partners(spark: SparkSession, d: str) -> DataFrame:
+    """For each tag the ten that it stands with most often."""
+    from corpusloom.llm.cooccur import pair_statistics, top_partners
+
+    return top_partners(pair_statistics(table(spark, d, "igt"), "gloss_tags"), 10).select(F.col("item").alias("tag"), "rank", "partner", "n_ab")
+
+
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of tags that stand in the same example, with counts, lift and log-likelihood ratio."""
     from corpusloom.llm.cooccur import pair_statistics
@@ -141,6 +176,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of each document turned back into text: its digest and length."""
+    from corpusloom.llm.encoding import decode
+
+    texts = decode(p8_ids(spark, d), "doc_id", "ids")
+    return texts.select("doc_id", F.md5("text").alias("text_md5"), F.char_length("text").alias("chars"))
+
+
 #: Tokens that a container holds.
 P9_CAPACITY = 2048
 
@@ -159,31 +202,44 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return p9_pack(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("parts"))
 
 
-def _p10(spark: SparkSession, d: str):
-    from corpusloom.llm.pii import fit, proposed
+def p9_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the packing: documents, containers over their capacity, documents split without need, documents
+    whose parts don't add up to their tokens or aren't numbered from 0."""
+    from corpusloom.llm.encoding import token_counts
+
+    placed = p9_pack(spark, d)
+    over = placed.groupBy("container").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > P9_CAPACITY).alias("over"))
+    sizes = token_counts(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("n_tokens", "size")
+    per = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts"), F.max("part").alias("last"))
+    both = sizes.join(per, "doc_id", "left")
+    split = (F.col("parts") > 1) & (F.col("size") <= P9_CAPACITY)
+    wrong = F.col("n").isNull() | (F.col("n") != F.col("size")) | (F.col("last") != F.col("parts") - 1)
+    return both.agg(F.count("*").alias("documents"), F.count_if(split).alias("split"), F.count_if(wrong).alias("wrong")).crossJoin(over)
 
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    spans_of = proposed(docs, "doc_id")
-    return docs, spans_of, fit(docs, spans_of, table(spark, d, "name_list"))
+
+def _p10(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and the accepted spans of their texts."""
+    from corpusloom.llm.pii import fit, proposed, spans
+
+    docs, names = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "name_list")
+    spans_of = proposed(docs, "doc_id", names)
+    return docs, spans(spans_of, "doc_id", fit(spans_of, names))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Personal information as it stands in the texts."""
-    from corpusloom.llm.pii import spans
-
-    _, spans_of, model = _p10(spark, d)
-    return spans(spans_of, "doc_id", model).select("doc_id", "kind", "val").distinct()
+    return _p10(spark, d)[1].select("doc_id", "kind", "val").distinct()
 
 
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The texts with placeholders."""
     from corpusloom.llm.pii import redacted
 
-    docs, _, model = _p10(spark, d)
-    return redacted(docs, "doc_id", model)
+    docs, found = _p10(spark, d)
+    return redacted(docs, "doc_id", found)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_current, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_pairs, p7_found, p7_groups, p8_ids, p9_pack, p9_containers, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_current, p3_found, p4_found, p4_forms, p5_found, p5_pieces, p5_rebuilt, p5_files, p6_found, p6_pairs, p6_partners, p7_found, p7_groups, p8_ids, p8_decoded, p9_pack, p9_containers, p9_sound, p10_found, p10_redacted)}
 
 _TAGS = "r AS (SELECT list_distinct(v) AS u, v FROM (SELECT list_filter(gloss_tags, lambda t: t IS NOT NULL AND t <> '') AS v FROM igt) WHERE len(v) > 0), n AS (SELECT count(*) AS n FROM r)"
 _COUNTS = f"{_TAGS}, o AS (SELECT tag, count(*) AS occurrences FROM (SELECT unnest(v) AS tag FROM r) GROUP BY tag), h AS (SELECT tag, count(*) AS records FROM (SELECT unnest(u) AS tag FROM r) GROUP BY tag)"
@@ -244,9 +300,20 @@ ORACLES: dict[str, str] = {
     "p5_found": "SELECT 'chunk' AS tbl, ord FROM chunk WHERE length(text) > 2000 UNION ALL SELECT 'section_node', ord FROM section_node WHERE length(full_text) > 2000",
     "p6_found": f"WITH {_PAIRS} SELECT tag_a, tag_b FROM q WHERE n_ab >= 5 AND n_ab * n_records >= 3 * n_a * n_b",
     "p6_pairs": f"WITH {_PAIRS} SELECT tag_a, tag_b, n_ab, n_a, n_b, n_records, round(n_ab * n_records / (n_a * n_b), 6) AS lift, round(2 * ({_LLR}), 4) AS llr FROM q",
+    "p5_rebuilt": "SELECT 'chunk' AS tbl, ord, md5(text) AS text_md5, true AS sound, true AS linked FROM chunk WHERE length(text) > 2000 UNION ALL SELECT 'section_node', ord, md5(full_text), true, true FROM section_node WHERE length(full_text) > 2000",
+    "p6_partners": f"""WITH {_PAIRS}, b AS (SELECT tag_a AS item, tag_b AS partner, n_ab, round(2 * ({_LLR}), 6) AS llr FROM q UNION ALL SELECT tag_b, tag_a, n_ab, round(2 * ({_LLR}), 6) FROM q)
+ SELECT item AS tag, row_number() OVER (PARTITION BY item ORDER BY llr DESC, n_ab DESC, partner) AS rank, partner, n_ab FROM b QUALIFY rank <= 10""",
+    "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, length(coalesce(text, '')) AS chars FROM documents",
+    "p9_sound": "SELECT count(*) AS documents, 0 AS split, 0 AS wrong, 0 AS over FROM documents",
     "p7_found": """WITH t AS (SELECT ord, source, gloss, translation, list_distinct(list_filter(string_split(concat(coalesce(source, ''), ' ', coalesce(gloss, ''), ' ', coalesce(translation, '')), ' '), lambda x: x <> '')) AS w FROM igt),
  e AS (SELECT ord, len(w) AS l, unnest(w) AS w FROM t), f AS (SELECT w, count(*) AS n FROM e GROUP BY w), p AS (SELECT ord, e.w, l, row_number() OVER (PARTITION BY ord ORDER BY n, e.w) AS pos FROM e JOIN f USING (w)),
  k AS (SELECT * FROM p WHERE pos <= l - ceil(0.6 * l) + 1), c AS (SELECT DISTINCT a.ord AS ord_a, b.ord AS ord_b FROM k a JOIN k b ON a.w = b.w AND a.ord < b.ord AND a.l * 5 >= b.l * 3 AND b.l * 5 >= a.l * 3)
  SELECT ord_a, ord_b FROM c JOIN t a ON a.ord = ord_a JOIN t b ON b.ord = ord_b WHERE (coalesce(a.source, ''), coalesce(a.gloss, ''), coalesce(a.translation, '')) <> (coalesce(b.source, ''), coalesce(b.gloss, ''), coalesce(b.translation, ''))
  AND 5 * len(list_intersect(a.w, b.w)) >= 3 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""",
 }
+
+_P7_CTES = ORACLES["p7_found"].removeprefix("WITH ").replace("\n SELECT ord_a, ord_b FROM c JOIN", ",\n pr AS (SELECT ord_a, ord_b FROM c JOIN", 1)
+ORACLES["p7_groups"] = f"""WITH RECURSIVE {_P7_CTES}), cls AS (SELECT ord, min(ord) OVER (PARTITION BY coalesce(source, ''), coalesce(gloss, ''), coalesce(translation, '')) AS rep FROM igt),
+ ce AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM pr JOIN cls a ON a.ord = ord_a JOIN cls b ON b.ord = ord_b WHERE a.rep <> b.rep), ed AS (SELECT a, b FROM ce UNION SELECT b, a FROM ce),
+ rc AS (SELECT a, b FROM ed UNION SELECT rc.a, ed.b FROM rc JOIN ed ON ed.a = rc.b), g AS (SELECT a, least(a, min(b)) AS grp FROM rc GROUP BY a), l AS (SELECT a, count(*) AS links FROM ed GROUP BY a)
+ SELECT ord, rep, coalesce(grp, rep) AS group_id, coalesce(links, 0) AS links FROM cls LEFT JOIN g ON g.a = rep LEFT JOIN l ON l.a = rep"""

@@ -37,8 +37,8 @@ def model(spark):
         )
     docs = spark.createDataFrame([*rows, (5000, None, "v"), (5001, "", "v")], "kind long, text string, val string")
     names = spark.createDataFrame([(n, "given") for n in GIVEN] + [(n, "family") for n in FAMILY] + [(None, "given")], "name string, name_type string")
-    props = pii.proposed(docs, "kind").withColumnRenamed("kind", "doc")
-    return docs, props, pii.fit(docs, props, names)
+    props = pii.proposed(docs, "kind", names)
+    return docs, props, pii.fit(props, names)
 
 
 @pytest.mark.parametrize(
@@ -61,13 +61,36 @@ def test_found(model, text, want):
     assert {(k, text[s:e]) for s, e, k in pii.find(text, m)} == want
 
 
+HELD_OUT = [
+    ("Yesterday Talera Lofulomm sent the second tape.", "name", "Talera Lofulomm"),
+    ("The list was drawn up by Orinos Kerringumm.", "name", "Orinos Kerringumm"),
+    ("We owe this remark to Prof. Vasunmo Ålmareri of the mission.", "name", "Vasunmo Ålmareri"),
+    ("Speaker: Kerringumm, Vasunmo (born 1951)", "name", "Kerringumm, Vasunmo"),
+    ("Ask K. Lofulomm about the tone marks.", "name", "K. Lofulomm"),
+    ("You can ring me on +999 555 0147 in the evening.", "phone", "+999 555 0147"),
+    ("Our office: 01632 960 177, mornings only.", "phone", "01632 960 177"),
+    ("The passport, number ZZ-4683-8455, was copied.", "id_number", "ZZ-4683-8455"),
+    ("His SSN is 666-36-7033 according to the form.", "id_number", "666-36-7033"),
+    ("Please send the box to 14 Heron Lane before June.", "address", "14 Heron Lane"),
+    ("They moved to 7 Quarry Road in spring.", "address", "7 Quarry Road"),
+    ("The files went to orinos.k@post.example.org last week.", "email", "orinos.k@post.example.org"),
+    ("Reach her via kodae (at) post (dot) example (dot) net if needed.", "email", "kodae (at) post (dot) example (dot) net"),
+]
+
+
+def test_sentences_of_no_template(model):
+    """Values of the known shapes in sentences that the corpus doesn't have."""
+    got = [(kind, val) in {(k, text[s:e]) for s, e, k in pii.find(text, model[2])} for text, kind, val in HELD_OUT]
+    assert sum(got) >= 0.9 * len(got), [h for h, g in zip(HELD_OUT, got) if not g]
+
+
 def test_columns(spark, model):
     docs, props, m = model
     found = pii.spans(props, "doc", m).collect()
     by = {r["kind"]: r["text"] for r in docs.collect()}
     assert len(found) > 900 and all(by[r["doc"]][r["begin"] : r["end"]] == r["val"] for r in found)
     assert {r["kind"] for r in found} == set(pii.KINDS)
-    red = {r["kind"]: r["text"] for r in pii.redacted(docs, "kind", m).collect()}
+    red = {r["doc"]: r["text"] for r in pii.redacted(docs.withColumnRenamed("kind", "doc"), "doc", pii.spans(props, "doc", m)).collect()}
     assert red[5000] is None and red[5001] == "" and len(red) == len(by)
     assert not any("Zabötend" in t for t in red.values() if t) and any("[NAME]" in t for t in red.values() if t)
 
